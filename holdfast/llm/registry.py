@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from holdfast.llm.decontaminate import op6_benchmark_decontamination
 from holdfast.llm.packing import op7_best_fit_packing
+from holdfast.llm.quality import op10_quality_rules
 from holdfast.llm.token_count import op4_token_counts
 from holdfast.llm.token_file import op2_token_output
+from holdfast.llm.urls import op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_token_output": op2_token_output,
     "op4_token_counts": op4_token_counts,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,18 +1,22 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
-A fingerprint has eight bytes. Two that differ in at most four bits agree in at least four
-bytes at the same positions. The index files each fingerprint under its bytes at every
-choice of four positions, which are the intersections of four posting lists (position,
-byte): two fingerprints meet there exactly if their tally of shared positional bytes
-reaches four, and no pair with a lower tally is looked at. Those that meet are verified by
-their differing bits. Equal fingerprints are one entry of the index, and of the links in
-a list only a spanning forest leaves the task, so copies are never expanded into pairs.
+A fingerprint has eight bytes for each of its lanes. The index files it under its bytes at
+choices of `share` positions; a choice's list is the intersection of the posting lists of
+its (position, byte) pairs, so two fingerprints meet in a list only if their tally of
+shared positional bytes reaches `share`, and no pair with a lower tally is looked at.
+With one lane, two fingerprints that differ in at most four bits agree in four bytes at
+least, and all choices are filed: no link is lost. With more lanes a bounded number of
+choices is filed, and the tests measure what it finds. Those that meet are verified by
+their differing bits. Equal fingerprints are one entry, and of the links in a list only a
+spanning forest leaves the task, so copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,66 +28,93 @@ from holdfast.llm.common import table, written
 from holdfast.llm.components import components
 from holdfast.llm.quality import fresh
 
-BYTES = 8
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER, LOWER)
 
+#: For near copies by word shingles: five words, and differing bits that a similarity of 0.8 leads to (15 of 100 on average) with room for chance.
+NEAR = {"shingle": 5, "lanes": 4, "bits": 46, "share": 3, "choices": 160}
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42, block: int = 1 << 16) -> int:
-    """Bit by bit, whether more than half of the hashes of the word shingles have it; 0 without words. Long texts are tallied in blocks."""
+
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Another hash for each hash: two rounds of multiplication and shift. Lane 0 is the hash itself."""
+    if lane == 0:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many rows have each bit, highest bit of the first lane first. hashes: rows x lanes."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1), axis=1)
+    total = np.zeros(bits.shape[1], np.int64)
+    for lo in range(0, len(bits), 255):
+        total += np.add.reduce(bits[lo : lo + 255], axis=0, dtype=np.uint8)
+    return total
+
+
+def fingerprint(text: str | None, shingle: int, seed: int = 42, lanes: int = 1, block: int = 1 << 15) -> list[int]:
+    """Bit by bit, whether more than half of the hashes of the word shingles have it; zeros without words. Long texts are tallied in blocks."""
     words = (text or "").encode("utf-8").translate(TO_LOWER).split()
     if not words:
-        return 0
+        return [0] * lanes
     whole, size = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return size(whole, seed)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - shingle + 1
-    tally = np.zeros(64, np.int64)
+    n = max(1, len(words) - shingle + 1)
+    lasts = ends[min(shingle, len(words)) - 1 :]
+    tally = np.zeros(64 * lanes, np.int64)
     for lo in range(0, n, block):
         hi = min(n, lo + block)
-        spans = zip(begins[lo:hi].tolist(), ends[lo + shingle - 1 : hi + shingle - 1].tolist(), strict=True)
-        hashes = np.array([size(whole[a:b], seed) for a, b in spans], ">u8")
-        tally += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * tally > n).tobytes(), "big")
+        hashes = np.array([size(whole[a:b], seed) for a, b in zip(begins[lo:hi].tolist(), lasts[lo:hi].tolist(), strict=True)], np.uint64)
+        tally += bit_sums(np.stack([mixed(hashes, k) for k in range(lanes)], axis=1))
+    return np.packbits(2 * tally > n).view(">u8").astype(np.uint64).tolist()
+
 
+def names(lanes: int, prefix: str = "f") -> list[str]:
+    return [f"{prefix}{k}" for k in range(lanes)]
 
-def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """Per row: doc_id, text_hash, fingerprint (as a signed long). A null text has no words."""
+
+def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42, lanes: int = 1) -> DataFrame:
+    """Per row: doc_id, text_hash, and the lanes f0, f1, ... as signed longs. A null text has no words."""
+    columns = names(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fingerprint"])
+            found = np.array([fingerprint(t.as_py(), shingle, seed, lanes) for t in batch.column("text")], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(found[:, k]) for k in range(lanes)]], names=["doc_id", "text_hash", *columns])
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return own.mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
+    return own.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in columns))
+
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1)
 
-def forest(entries: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of the links among distinct fingerprints: what is reached leaves the rest, so a dense group is walked in few steps."""
-    edges, rest = [], entries
+
+def forest(entries: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest of the links among fingerprints (rows x lanes): what is reached leaves the rest, so a dense group is walked in few steps."""
+    rest = entries
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= bits
+            near = differing(rest, x) <= bits
             if near.any():
                 found, rest = rest[near], rest[~near]
-                edges.append((np.full(len(found), x), found))
+                yield np.broadcast_to(x, found.shape), found
                 queue.extend(found)
-    return edges
 
 
 def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int, small: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """From (keys, fingerprints) in the order of keys, edges that join all fingerprints of a key which are linked. Lists may run over batches."""
+    """From (keys, fingerprints) in the order of keys, edges that join all fingerprints of a key which are linked. Lists may run over batches; of a list, only the fingerprints are held."""
     held: list[np.ndarray] = []
     held_key = None
 
     def closed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if held and len(all_ := np.unique(np.concatenate(held))) > 1:
-            yield from forest(all_, bits)
+        if sum(map(len, held)) > 1:
+            yield from forest(np.concatenate(held), bits)
 
     for keys, prints in batches:
         if not len(keys):
@@ -101,52 +132,65 @@ def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int,
         held, held_key = [prints[begins[-1] :]], keys[-1]
         inner = slice(1, len(begins) - 1)
         sizes, begins, ends = (ends - begins)[inner], begins[inner], ends[inner]
-        short = begins[(sizes > 1) & (sizes <= small)]
-        lengths = sizes[(sizes > 1) & (sizes <= small)]
+        short, lengths = begins[(sizes > 1) & (sizes <= small)], sizes[(sizes > 1) & (sizes <= small)]
         for i in range(small - 1):
             for j in range(i + 1, small):
                 at = short[lengths > j]
                 if len(at):
                     a, b = prints[at + i], prints[at + j]
-                    near = (np.bitwise_count(a ^ b) <= bits) & (a != b)
+                    near = differing(a, b) <= bits
                     if near.any():
                         yield a[near], b[near]
         for k in np.flatnonzero(sizes > small):
-            yield from forest(np.unique(prints[begins[k] : ends[k]]), bits)
+            yield from forest(prints[begins[k] : ends[k]], bits)
     yield from closed()
 
 
-def links(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """Edges u, v among the distinct longs of column fingerprint, enough to join all that are linked by chains of at most `bits` differing bits. At most seven bits, where one byte at least is shared."""
-    share = BYTES - bits
-    if share < 1:
-        raise ValueError("no byte need be shared at so many differing bits")
-    masks = [sum(0xFF << (8 * p) for p in kept) for kept in combinations(range(BYTES), share)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = [F.xxhash64(F.lit(k), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)]
-    filed = prints.select("fingerprint", F.explode(F.array(*keys)).alias("key"))
+def chosen(positions: int, share: int, choices: int | None) -> list[tuple[int, ...]]:
+    """All choices of `share` positions, or a fixed sample of them that treats positions alike."""
+    if choices is None or comb(positions, share) <= choices:
+        return list(combinations(range(positions), share))
+    rng, out, rest = random.Random(positions * share), set(), []
+    while len(out) < choices:
+        if len(rest) < share:
+            rest = rng.sample(range(positions), positions)
+        out.add(tuple(sorted(rest[:share])))
+        rest = rest[share:]
+    return sorted(out)
+
+
+def node(lanes: int, prefix: str = "f"):
+    return F.col(prefix + "0") if lanes == 1 else F.xxhash64(*names(lanes, prefix))
+
+
+def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choices: int | None = None) -> DataFrame:
+    """Edges u, v among the nodes of distinct fingerprints f0, ..., enough to join all that are linked by chains of at most `bits` differing bits and share a list."""
+    keys = []
+    for k, kept in enumerate(chosen(8 * lanes, share, choices)):
+        masks = [sum(0xFF << (8 * (p % 8)) for p in kept if p // 8 == lane) for lane in range(lanes)]
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        keys.append(F.xxhash64(F.lit(k), *[F.col(f"f{lane}").bitwiseAND(F.lit(m).cast("long")) for lane, m in enumerate(signed) if m]))
+    filed = prints.select(F.explode(F.array(*keys)).alias("key"), *names(lanes))
+    us, vs = names(lanes, "u"), names(lanes, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = ((b.column("key").to_numpy(), b.column("fingerprint").to_numpy().view(np.uint64)) for b in batches)
+        arrays = ((b.column("key").to_numpy(), np.stack([b.column(c).to_numpy().view(np.uint64) for c in names(lanes)], axis=1)) for b in batches)
         for u, v in links_in_lists(arrays, bits):
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for x in (u, v) for k in range(lanes)], names=us + vs)
 
-    found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in us + vs))
+    return found.select(node(lanes, "u").alias("u"), node(lanes, "v").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def near_groups(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """Per distinct fingerprint: fingerprint, component_id (the least doc_id of its component, null if none has one)."""
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fingerprint"), bits))
-    known = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    known = written(known, "roots")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(least, "root").select("fingerprint", "component_id")
+def rooted(prints: DataFrame, lanes: int, bits: int, share: int, choices: int | None) -> DataFrame:
+    """prints with the root of their component in the column root."""
+    nodes = prints.withColumn("own", node(lanes))
+    roots = components(links(prints.select(*names(lanes)).distinct(), lanes, bits, share, choices))
+    return nodes.join(roots, nodes["own"] == roots["node"], "left").withColumn("root", F.coalesce("root", "own")).drop("node", "own")
 
 
 def near_dedup(documents: DataFrame, shingle: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
-    """Per row: doc_id, text_hash, fingerprint, component_id.
+    """Per row: doc_id, fingerprint (a signed long), component_id.
 
     documents: doc_id, text; other columns are not looked at. Texts without words, null
     ones too, have the fingerprint zero and are linked like any other. A null doc_id is
@@ -154,8 +198,23 @@ def near_dedup(documents: DataFrame, shingle: int = 4, bits: int = 4, seed: int
     rows each give a row. An empty table gives no rows.
     """
     prints = written(fingerprints(documents, shingle, seed), "prints")
-    groups = near_groups(prints, bits)
-    return prints.join(groups, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
+    distinct = prints.groupBy("f0").agg(F.min("doc_id").alias("least"))
+    known = written(rooted(distinct, 1, bits, 8 - bits, None), "roots")
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = known.join(least, "root").select("f0", "component_id")
+    return prints.join(groups, "f0").select("doc_id", F.col("f0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(documents: DataFrame, shingle: int = NEAR["shingle"], lanes: int = NEAR["lanes"], bits: int = NEAR["bits"], share: int = NEAR["share"], choices: int | None = NEAR["choices"]) -> DataFrame:
+    """The document with the least doc_id (null last) of each component, with its columns as they were. Rows equal in doc_id and text are one document, and stay or go together."""
+    hashed = fresh(documents, "_text_hash")
+    prints = written(fingerprints(documents, shingle, 42, lanes), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    distinct = written(prints.groupBy(*names(lanes)).agg(F.min(order).alias("first")), "distinct")
+    first = rooted(distinct, lanes, bits, share, choices).groupBy("root").agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_hash").alias("_first_hash"))
+    own = documents.withColumn(hashed, F.xxhash64("text"))
+    return own.join(first, (own[hashed] == first["_first_hash"]) & own["doc_id"].cast("long").eqNullSafe(first["_first_id"]), "left_semi").drop(hashed)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ order. Chunks are kept in a memo of bounded size; what is not in it goes to the
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import re
+import struct
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,33 +19,60 @@ def tokenizer_path(name: str) -> str:
 
 
 class ChunkEncoder:
-    """Ids as little-endian unsigned 32-bit integers. memo: chunks kept at most, twice that for a moment."""
+    """Ids as little-endian unsigned 32-bit integers. memo: chunks kept at most, twice that for a moment.
+
+    A chunk of ASCII letters, digits and marks alone falls, in lower case, into pieces that
+    the tokenizer's own pattern makes of it (letters; one digit; marks), and these go to the
+    library's model; all other chunks go to the whole tokenizer.
+    """
 
     LONGEST = 64
+    PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+    PLAIN = re.compile(rb"[!-&(-;=-~]+")  # printable, without ' (contractions) and < (added tokens)
 
     def __init__(self, path: str, memo: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
+        self.model = self.tokenizer.model
+        self.raw = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+
+    def plain(self, chunk: bytes) -> bytes:
+        """Ids of a chunk that PLAIN matches."""
+        out, known = [], self.pieces
+        for piece in self.PIECES.findall(chunk.lower()):
+            if (ids := known.get(piece)) is None:
+                raw = self.raw
+                ids = b"".join([raw[t.id] for t in self.model.tokenize(piece.decode("ascii"))])
+                if len(piece) <= self.LONGEST:
+                    if len(known) >= self.memo:
+                        known.clear()
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         chunks = (text or "").encode("utf-8").split()
-        young, old = self.young, self.old
+        young, old, plain = self.young, self.old, self.PLAIN.fullmatch
         missing, brief = [], []
         for c in set(chunks).difference(young):
             if (known := old.get(c)) is not None:
                 young[c] = known
+            elif plain(c):
+                young[c] = self.plain(c)
             else:
                 missing.append(c)
             if len(c) > self.LONGEST:
                 brief.append(c)
         if missing:
+            raw = self.raw
             found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in missing], add_special_tokens=False)
             for c, e in zip(missing, found, strict=True):
-                young[c] = np.array(e.ids, "<u4").tobytes()
+                young[c] = b"".join([raw[i] for i in e.ids])
         ids = b"".join([young[c] for c in chunks])
         for c in brief:
             del young[c]

@@ -211,11 +211,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> list[Rul
     chosen = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("bad")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(sample)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows are broadcast
-    found = with_statistics(texts, "text", "s").filter(~base_failed(F.col("s")))
+    found = with_statistics(texts, "text", "s")  # no filter on statistics here: it would be pushed below the join and run over all texts
     f = features(F.col("s"))
     rows = found.groupBy("doc_id", "bad").agg(F.min(F.struct(*[f[k].alias(k) for k in FEATURES])).alias("x"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).alias("fold"), F.col("bad").cast("int").alias("bad"), "x.*")
-    return learn(sorted(tuple(r) for r in rows.collect()))
+    words, repeats = 2 + FEATURES.index("n_words"), 2 + FEATURES.index("repeat_rate")
+    return learn(sorted(tuple(r) for r in rows.collect() if r[words] >= 50 and r[repeats] <= 0.5))
 
 
 def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:

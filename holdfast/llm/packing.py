@@ -131,7 +131,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE_SCHEMA)
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, salts: int = 256) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, salts: int = 64) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     documents: doc_id, text; other columns are not looked at. A null text counts as empty

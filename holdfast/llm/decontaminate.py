@@ -22,6 +22,8 @@ from holdfast.llm.quality import fresh
 
 #: Found by trying all masks of weight 6 and span 11 at most: every choice of 4 substitutions among 20 tokens leaves a hit.
 MASKS = ("1111011", "1110111", "1110100011")
+#: For items shorter than the window, of weight 5: with these, every choice of a fifth of the tokens leaves a hit at every length from SHORTEST on.
+SHORT_MASKS = ("1001111", "111101")
 WINDOW = 20
 SHARE = 0.8
 SHORTEST = 10  # items of fewer tokens can't be told from chance, and are not looked for
@@ -34,13 +36,15 @@ def tokens_of(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds_at_positions(df: DataFrame, h: str, masks: tuple[str, ...]) -> DataFrame:
-    """df with a row for each position of array h and mask that fits there: p from 0, seed."""
+def seeds_at_positions(df: DataFrame, h: str, masks: tuple[str, ...], short: Column | None = None) -> DataFrame:
+    """df with a row for each position of array h and mask that fits there: p from 0, seed. The masks for short items are laid where `short` holds, by default everywhere."""
+    plain, masks = len(masks), masks + SHORT_MASKS
     span = max(map(len, masks))
     ahead = [F.slice(F.col(h), k + 1, F.size(h) + 1).alias(f"t{k}") for k in range(span)]
     rows = df.select("*", F.posexplode(F.arrays_zip(*ahead)).alias("p", "z"))
     at = lambda k: F.col("z")[f"t{k}"]
-    seeds = [F.when(at(len(m) - 1).isNotNull(), F.xxhash64(F.lit(n), *[at(k) for k, c in enumerate(m) if c == "1"])) for n, m in enumerate(masks)]
+    fits = lambda n, m: at(len(m) - 1).isNotNull() if short is None or n < plain else at(len(m) - 1).isNotNull() & short
+    seeds = [F.when(fits(n, m), F.xxhash64(F.lit(n), *[at(k) for k, c in enumerate(m) if c == "1"])) for n, m in enumerate(masks)]
     return rows.withColumn("seed", F.explode(F.array(*seeds))).drop("z").filter("seed is not null")
 
 
@@ -61,12 +65,12 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens_of(F.col("text")).alias("item")).filter(F.size("item") >= SHORTEST).distinct()
     items = items.withColumn("item_key", F.xxhash64("item_id", "item"))
     n_seeds = items.agg(F.sum(F.size("item"))).first()[0] or 0
-    blocks = max(1, math.ceil(n_seeds * len(masks) / block_seeds))
+    blocks = max(1, math.ceil(n_seeds * (len(masks) + len(SHORT_MASKS)) / block_seeds))
     positions = seeds_at_positions(docs, "h", masks)
     found = None
     for b in range(blocks):
         own = items.filter(F.pmod("item_key", F.lit(blocks)) == b)
-        seeds = seeds_at_positions(own, "item", masks).select("seed", "item_key", F.size("item").alias("n"), F.col("p").alias("q")).distinct()
+        seeds = seeds_at_positions(own, "item", masks, F.size("item") < window).select("seed", "item_key", F.size("item").alias("n"), F.col("p").alias("q")).distinct()
         hits = positions.join(F.broadcast(seeds), "seed")  # about block_seeds rows
         begin = F.col("p") - F.col("q")
         aligned = hits.select("doc_id", "text_hash", "item_key", begin.alias("begin"), F.slice("h", F.greatest(begin, F.lit(0)) + 1, F.col("n") + F.least(begin, F.lit(0))).alias("part"))

@@ -26,11 +26,12 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(pearson(F.col("_ra"), F.col("_rb")).alias("scc"))
 
 
-def classification(df: DataFrame, pred: str, target: str) -> DataFrame:
-    """accuracy, balanced_accuracy, macro_f1, weighted_f1 from counts by (target, pred). Rows with a null or negative target are left out; all 0 where none is left."""
-    pairs = df.filter(F.col(target) >= 0).groupBy(target, pred).count()
+def classification(df: DataFrame, pred: str, target: str, classes: int) -> DataFrame:
+    """accuracy, balanced_accuracy, macro_f1, weighted_f1 from counts by (target, pred). Rows whose target is null or outside 0..classes-1 are left out, predictions outside count for no class; all 0 where no row is left."""
+    inside = lambda x: F.col(x).between(0, classes - 1)
+    pairs = df.filter(inside(target)).groupBy(target, pred).count()
     by_target = pairs.groupBy(F.col(target).alias("class")).agg(F.sum("count").alias("support"), F.sum(F.when(F.col(target) == F.col(pred), F.col("count")).otherwise(0)).alias("hit"))
-    by_pred = pairs.groupBy(F.col(pred).alias("class")).agg(F.sum("count").alias("called"))
+    by_pred = pairs.filter(inside(pred)).groupBy(F.col(pred).alias("class")).agg(F.sum("count").alias("called"))
     rows = by_target.join(by_pred, "class", "full_outer").na.fill(0)
     rows = rows.withColumn("f1", 2 * F.col("hit") / (F.col("support") + F.col("called")))
     total = F.sum("support")

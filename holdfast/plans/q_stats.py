@@ -109,11 +109,11 @@ query("met_spearman", head_r + f", r AS (SELECT {RANK.format(x='pred')} AS a, {R
 rows_c, head_c = over("part", "p_size % 7 AS pred", "CASE WHEN p_partkey % 6 = 0 THEN -1 ELSE (p_size + p_partkey % 3) % 6 END AS target")
 
 
-@query("met_classification", head_c + ", v AS (SELECT * FROM i WHERE target >= 0), s AS (SELECT target AS class, count(*) AS n, count(*) FILTER (pred = target) AS hit FROM v GROUP BY 1), p AS (SELECT pred AS class, count(*) AS called FROM v GROUP BY 1), "
+@query("met_classification", head_c + ", v AS (SELECT * FROM i WHERE target >= 0), s AS (SELECT target AS class, count(*) AS n, count(*) FILTER (pred = target) AS hit FROM v GROUP BY 1), p AS (SELECT pred AS class, count(*) AS called FROM v WHERE pred < 6 GROUP BY 1), "
        "j AS (SELECT coalesce(n, 0) AS n, coalesce(hit, 0) AS hit, coalesce(called, 0) AS called, 2 * coalesce(hit, 0) / (coalesce(n, 0) + coalesce(called, 0)) AS f1 FROM s FULL JOIN p USING (class)) "
        "SELECT round(sum(hit) / sum(n), 6) AS accuracy, round(avg(hit / n) FILTER (n > 0), 6) AS balanced_accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * n) / sum(n), 6) AS weighted_f1 FROM j")
 def _(t):
-    got = M.classification(rows_c(t), "pred", "target")
+    got = M.classification(rows_c(t), "pred", "target", 6)
     return got.select(*[F.round(k, 6).alias(k) for k in got.columns])
 
 

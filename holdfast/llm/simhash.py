@@ -7,7 +7,7 @@ shared positional bytes reaches `share`, and no pair with a lower tally is looke
 With one lane, two fingerprints that differ in at most four bits agree in four bytes at
 least, and all choices are filed: no link is lost. With more lanes a bounded number of
 choices is filed, and the tests measure what it finds. Those that meet are verified by
-their differing bits. Equal fingerprints are one entry, and of the links in a list only a
+their differing bits, and, for near copies by word shingles, by their shingles. Equal fingerprints are one entry, and of the links in a list only a
 spanning forest leaves the task, so copies are never expanded into pairs.
 """
 
@@ -31,8 +31,8 @@ from holdfast.llm.quality import fresh
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER, LOWER)
 
-#: For near copies by word shingles: five words, and differing bits that a similarity of 0.8 leads to (15 of 100 on average) with room for chance.
-NEAR = {"shingle": 5, "lanes": 4, "bits": 46, "share": 3, "choices": 160}
+#: For near copies: shingles of five words and a Jaccard similarity of 0.8, which leads to 39 of 256 differing bits on average, give or take 6. Up to `tight` bits a pair is one for sure (0.92 on average), up to `loose` its shingles are compared.
+NEAR = {"shingle": 5, "similarity": 0.8, "lanes": 4, "tight": 24, "loose": 62, "share": 3, "choices": 160}
 
 
 def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -107,14 +107,24 @@ def forest(entries: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndar
                 queue.extend(found)
 
 
-def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int, small: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """From (keys, fingerprints) in the order of keys, edges that join all fingerprints of a key which are linked. Lists may run over batches; of a list, only the fingerprints are held."""
+def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int, tight: int | None = None, small: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From (keys, fingerprints) in the order of keys, edges that join all fingerprints of a key which are linked: all pairs of lists up to `small`, forests of longer ones, one for `tight` bits too. Lists may run over batches; of a list, only the fingerprints are held."""
     held: list[np.ndarray] = []
     held_key = None
 
+    def long(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from forest(entries, bits)
+        if tight is not None:
+            yield from forest(entries, tight)
+
     def closed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if sum(map(len, held)) > 1:
-            yield from forest(np.concatenate(held), bits)
+        if 1 < (n := sum(map(len, held))) <= small:
+            own = np.concatenate(held)
+            i, j = np.triu_indices(n, 1)
+            near = differing(own[i], own[j]) <= bits
+            yield own[i[near]], own[j[near]]
+        elif n > small:
+            yield from long(np.concatenate(held))
 
     for keys, prints in batches:
         if not len(keys):
@@ -142,7 +152,7 @@ def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int,
                     if near.any():
                         yield a[near], b[near]
         for k in np.flatnonzero(sizes > small):
-            yield from forest(prints[begins[k] : ends[k]], bits)
+            yield from long(prints[begins[k] : ends[k]])
     yield from closed()
 
 
@@ -163,8 +173,8 @@ def node(lanes: int, prefix: str = "f"):
     return F.col(prefix + "0") if lanes == 1 else F.xxhash64(*names(lanes, prefix))
 
 
-def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choices: int | None = None) -> DataFrame:
-    """Edges u, v among the nodes of distinct fingerprints f0, ..., enough to join all that are linked by chains of at most `bits` differing bits and share a list."""
+def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choices: int | None = None, tight: int | None = None) -> DataFrame:
+    """Edges u, v, d among the nodes of distinct fingerprints f0, ..., with their differing bits: enough to join all that are linked by chains of at most `bits` differing bits, or `tight` ones, and share a list."""
     keys = []
     for k, kept in enumerate(chosen(8 * lanes, share, choices)):
         masks = [sum(0xFF << (8 * (p % 8)) for p in kept if p // 8 == lane) for lane in range(lanes)]
@@ -175,17 +185,18 @@ def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = ((b.column("key").to_numpy(), np.stack([b.column(c).to_numpy().view(np.uint64) for c in names(lanes)], axis=1)) for b in batches)
-        for u, v in links_in_lists(arrays, bits):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for x in (u, v) for k in range(lanes)], names=us + vs)
+        for u, v in links_in_lists(arrays, bits, tight):
+            columns = [pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for x in (u, v) for k in range(lanes)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(differing(u, v).astype(np.int64))], names=[*us, *vs, "d"])
 
-    found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in us + vs))
-    return found.select(node(lanes, "u").alias("u"), node(lanes, "v").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in [*us, *vs, "d"]))
+    return found.select(node(lanes, "u").alias("u"), node(lanes, "v").alias("v"), "d").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "d").distinct()
 
 
 def rooted(prints: DataFrame, lanes: int, bits: int, share: int, choices: int | None) -> DataFrame:
     """prints with the root of their component in the column root."""
     nodes = prints.withColumn("own", node(lanes))
-    roots = components(links(prints.select(*names(lanes)).distinct(), lanes, bits, share, choices))
+    roots = components(links(prints.select(*names(lanes)).distinct(), lanes, bits, share, choices).select("u", "v"))
     return nodes.join(roots, nodes["own"] == roots["node"], "left").withColumn("root", F.coalesce("root", "own")).drop("node", "own")
 
 
@@ -205,13 +216,53 @@ def near_dedup(documents: DataFrame, shingle: int = 4, bits: int = 4, seed: int
     return prints.join(groups, "f0").select("doc_id", F.col("f0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(documents: DataFrame, shingle: int = NEAR["shingle"], lanes: int = NEAR["lanes"], bits: int = NEAR["bits"], share: int = NEAR["share"], choices: int | None = NEAR["choices"]) -> DataFrame:
-    """The document with the least doc_id (null last) of each component, with its columns as they were. Rows equal in doc_id and text are one document, and stay or go together."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles; of the whole where there are fewer words, none without words."""
+    words = (text or "").encode("utf-8").translate(TO_LOWER).split()
+    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.fromiter(own, np.uint64, len(own)).view(np.int64)
+
+
+def alike(pairs: DataFrame, places: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs u, v, ... of nodes whose documents have the Jaccard similarity. places: node, first (n, doc_id, text_hash)."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = places.join(nodes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = own.join(wanted, (own["text_hash"] == wanted["_hash"]) & own["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    grams = written(texts.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"]), "grams")
+    both = pairs.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("_a")), "u").join(grams.select(F.col("node").alias("v"), F.col("grams").alias("_b")), "v")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.filter(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).drop("_a", "_b")
+
+
+def keep_one_of_each(documents: DataFrame, shingle: int = NEAR["shingle"], similarity: float = NEAR["similarity"], lanes: int = NEAR["lanes"], tight: int = NEAR["tight"], loose: int = NEAR["loose"], share: int = NEAR["share"], choices: int | None = NEAR["choices"]) -> DataFrame:
+    """The document with the least doc_id (null last) of each component, with its columns as they were. Rows equal in doc_id and text are one document, and stay or go together.
+
+    Links are pairs of at most `tight` differing bits, and pairs of at most `loose` whose
+    shingles have the similarity. Pairs that the first kind has already joined are not compared.
+    """
     hashed = fresh(documents, "_text_hash")
     prints = written(fingerprints(documents, shingle, 42, lanes), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    distinct = written(prints.groupBy(*names(lanes)).agg(F.min(order).alias("first")), "distinct")
-    first = rooted(distinct, lanes, bits, share, choices).groupBy("root").agg(F.min("first").alias("first"))
+    places = written(prints.groupBy(*names(lanes)).agg(F.min(order).alias("first")).withColumn("node", node(lanes)), "places")
+    edges = written(links(places.select(*names(lanes)), lanes, loose, share, choices, tight), "links")
+    roots = components(edges.filter(F.col("d") <= tight).select("u", "v"))
+
+    def root_of(df: DataFrame, of: str, roots: DataFrame, into: str) -> DataFrame:
+        own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        return df.join(own, F.col(of) == F.col("_node"), "left").withColumn(into, F.coalesce("_root", of)).drop("_node", "_root")
+
+    apart = root_of(root_of(edges.filter(F.col("d") > tight).select("u", "v"), "u", roots, "a"), "v", roots, "b").filter("a <> b")
+    more = alike(written(apart, "pairs"), places, documents, shingle, similarity)
+    joined = components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    final = root_of(root_of(places.select("node", "first"), "node", roots, "own"), "own", joined, "root")
+    first = final.groupBy("root").agg(F.min("first").alias("first"))
     first = first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_hash").alias("_first_hash"))
     own = documents.withColumn(hashed, F.xxhash64("text"))
     return own.join(first, (own[hashed] == first["_first_hash"]) & own["doc_id"].cast("long").eqNullSafe(first["_first_id"]), "left_semi").drop(hashed)

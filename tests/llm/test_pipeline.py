@@ -16,6 +16,11 @@ from tests.llm.test_filters import statistics
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def rows_of(df):
     return {r.doc_id: r for r in df.collect()}
 
@@ -49,7 +54,14 @@ def test_stages(spark):
     prints = [np.array(simhash.fingerprint(before[d].text, near["shingle"], 42, near["lanes"]), np.uint64) for d in ids]
     lists = simhash.chosen(8 * near["lanes"], near["share"], near["choices"])
     shown = [p.astype("<u8").view(np.uint8) for p in prints]
-    linked = lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= near["bits"] and any(all(shown[i][p] == shown[j][p] for p in c) for c in lists)
+    grams = [shingles(before[d].text) for d in ids]
+
+    def linked(i, j):
+        d = int(np.bitwise_count(prints[i] ^ prints[j]).sum())
+        if d > near["loose"] or d and not any(all(shown[i][p] == shown[j][p] for p in c) for c in lists):
+            return False
+        return d <= near["tight"] or len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])
+
     assert set(rows_of(after)) == {ids[g] for g in set(groups_of(range(len(ids)), linked))}
 
     before, after = seen["decontamination"]

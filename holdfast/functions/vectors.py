@@ -39,6 +39,16 @@ def shingles(x: Column, n: int) -> Column:
     return F.array_distinct(F.when(F.char_length(x) < n, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n)))))
 
 
+def head_pairs(x: Column) -> Column:
+    """Distinct (first character, distance, other character) triples: the stand-in for atom pairs at a distance."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - 1, F.lit(1))), lambda i: F.concat(F.substring(x, 1, 1), i.cast("string"), F.substr(x, i + 1, F.lit(1)))))
+
+
+def set_difference_both(a: Column, b: Column) -> Column:
+    """What only one side of a reaction has: the stand-in for a differential reaction fingerprint."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
 def json_vector(x: Column) -> Column:
     return F.from_json(x, "array<double>")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.operators.ordered import running_sums
+
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -63,10 +65,10 @@ def ks(df: DataFrame, split: str, x: str, reference: str = "train") -> DataFrame
     """Per split, the largest gap between its distribution function and that of the reference split. Values are counted first, so the running sums run over distinct values."""
     splits = [r[0] for r in df.select(split).distinct().orderBy(split).collect()]
     wide = df.filter(F.col(x).isNotNull()).groupBy(x).pivot(split, splits).count().na.fill(0)
-    order = Window.partitionBy(F.lit(0)).orderBy(x)
-    every = Window.partitionBy(F.lit(0))
-    share = lambda s: F.sum(F.col(f"`{s}`")).over(order) / F.sum(F.col(f"`{s}`")).over(every)
-    gaps = wide.select(*[F.abs(share(s) - share(reference)).alias(s) for s in splits])
+    running = running_sums(wide, x, splits)
+    total = wide.agg(*[F.sum(f"`{s}`").alias(s) for s in splits]).first()
+    share = lambda s: F.col(f"`sum_{s}`") / total[s]
+    gaps = running.select(*[F.abs(share(s) - share(reference)).alias(s) for s in splits])
     return gaps.agg(*[F.max(F.col(f"`{s}`")).alias(s) for s in splits]).unpivot([], splits, split, "ks")
 
 
@@ -84,9 +86,3 @@ def block_scaling(df: DataFrame, vector: str) -> DataFrame:
     mean = F.col("s") / F.col("n")
     std = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
     return total.select(mean.alias("mean"), F.when(std > 0, std).otherwise(1.0).alias("std"))
-
-
-def average_rank(df: DataFrame, x: str, into: str, groups: list[Column] | None = None) -> DataFrame:
-    """Ranks from 1, ties sharing their mean rank."""
-    keys = groups or [F.lit(0)]
-    return df.withColumn(into, F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2)

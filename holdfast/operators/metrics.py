@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.keys import padded_levels
-from holdfast.operators.aggregates import average_rank
 from holdfast.operators.frames import top_per_key
+from holdfast.operators.ordered import average_rank
 
 
 def regression(pred: Column, target: Column) -> list[Column]:

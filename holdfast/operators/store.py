@@ -92,11 +92,12 @@ def read(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def fingerprint(keys: DataFrame, key: str, **params: object) -> DataFrame:
-    """One row, the fingerprint of a set of keys and parameters whatever their order: count, and sums of two hashes of each distinct key, so that keys are not gathered."""
-    rows = keys.select(F.col(key).alias("k")).distinct()
-    digest = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("k") % 1_000_000_007).alias("a"), F.sum(F.xxhash64(F.lit(1), "k") % 1_000_000_007).alias("b"))
+    """One row, the fingerprint of a set of keys and parameters whatever their order: count, and sums of two parts of each distinct key's SHA-256, so that keys are not gathered."""
+    digest = F.sha2("k", 256)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)"))
+    rows = keys.select(F.col(key).cast("string").alias("k")).filter("k is not null").distinct().agg(F.count("*").alias("n"), part(1).alias("a"), part(16).alias("b"))
     said = F.concat_ws("|", F.col("n").cast("string"), F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string"), *[F.lit(f"{k}={v}") for k, v in sorted(params.items())])
-    return digest.select(F.sha2(said, 256).alias("fingerprint"))
+    return rows.select(F.sha2(said, 256).alias("fingerprint"))
 
 
 def cached(df_keys: DataFrame, key: str, path: str, compute: Callable[[], DataFrame], **params: object) -> DataFrame:

@@ -122,7 +122,7 @@ query("sto_incremental_embed", f"SELECT DISTINCT p_name AS key FROM part WHERE {
 query("sto_put", f"SELECT DISTINCT p_name AS key, length(p_name) AS n FROM part WHERE NOT {HAS_RING}")(lambda t: a_store(t).vectors().select("key", c("vec")[0].cast("long").alias("n")))
 query("sto_flush", f"SELECT DISTINCT p_name AS key FROM part WHERE {HAS_RING}")(lambda t: a_store(t).failures().select("key"))
 query("sto_meta", "SELECT 2 AS dim")(lambda t: (lambda s: t.spark.createDataFrame([(shared.read_json(t.spark, s.path + "/meta.json")["dim"],)], "dim int"))(a_store(t)))
-query("cch_fingerprint")(lambda t: S.fingerprint(t.part, "p_name", metric="cosine"))
+query("cch_fingerprint", "WITH k AS (SELECT DISTINCT sha256(p_name) AS h FROM part) SELECT sha256(count(*) || '|' || sum(('0x' || substr(h, 1, 15))::BIGINT) || '|' || sum(('0x' || substr(h, 16, 15))::BIGINT) || '|metric=cosine') AS fingerprint FROM k")(lambda t: S.fingerprint(t.part, "p_name", metric="cosine"))
 query("cch_similarity", "SELECT p_name AS key, max(p_size) AS v FROM part GROUP BY 1")(lambda t: _cached_twice(t))
 query("cch_materialized", "SELECT p_name AS key, max(p_size) AS v FROM part GROUP BY 1")(lambda t: _cached_twice(t))
 
@@ -136,6 +136,19 @@ def _cached_twice(t):
 
 query("dm_mixed_batches")(lambda t: S.mixed_batches(t.lineitem.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 512, 42).groupBy("batch").agg(F.count("*").alias("n")))
 
+# Features from several stores
+STORES = "WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 <> 0), b AS (SELECT c_custkey, [c_acctbal] AS v FROM customer WHERE c_nationkey < 20)"
+
+
+@query("join_multi_store_lookup", STORES + " SELECT event_id AS k, 65 AS width, (a.v IS NULL)::INT + (b.v IS NULL)::INT AS n_missing, round(coalesce(list_sum(a.v), 0) + coalesce(b.v[1], 0), 4) AS s FROM events LEFT JOIN a ON user_id = vec_id LEFT JOIN b ON user_id = c_custkey")
+def _(t):
+    from holdfast.operators.features import assemble
+
+    stores = [("user_id", t.embeddings.filter("vec_id % 3 <> 0").select(c("vec_id").alias("key"), c("embedding").alias("v")), 64), ("user_id", t.customer.filter("c_nationkey < 20").select(c("c_custkey").alias("key"), F.array("c_acctbal").alias("v")), 1)]
+    got = assemble(t.events.select(c("event_id").alias("k"), "user_id"), stores)
+    return got.select("k", F.size("features").alias("width"), "n_missing", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 4).alias("s"))
+
+
 # Structures
 CATALOG = "WITH k AS (SELECT p_name AS id, ['alphafold', 'esmfold2', 'esm3', 'other'][p_partkey % 4 + 1] AS source, p_size AS version, 'f' || p_partkey AS path FROM part WHERE p_size > 40)"
 query("str_locate", CATALOG + " SELECT id, arg_min(path, (CASE source WHEN 'alphafold' THEN 1 WHEN 'esmfold2' THEN 2 ELSE 3 END, -version, path)) AS path FROM k WHERE source <> 'other' GROUP BY 1")(

@@ -50,6 +50,10 @@ def _encode(t):
 rows_sh, head_sh = over("part", "p_partkey AS k", "p_name AS x", "p_type AS y")
 GRAMS = "list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3)))"
 query("fn_morgan", head_sh + f"SELECT k, len({GRAMS.format(x='x')}) AS n FROM i")(lambda t: rows_sh(t).select("k", F.size(V.shingles(c("x"), 3)).cast("long").alias("n")))
+PAIRS = "list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, 1, 1) || i || substr(x, i + 1, 1)))"
+query("fn_atompair", head_sh + f"SELECT k, len({PAIRS}) AS n FROM i")(lambda t: rows_sh(t).select("k", F.size(V.head_pairs(c("x"))).cast("long").alias("n")))
+query("fn_drfp", head_sh + f"SELECT k, len(list_filter({GRAMS.format(x='x')}, lambda g: NOT list_contains({GRAMS.format(x='y')}, g))) + len(list_filter({GRAMS.format(x='y')}, lambda g: NOT list_contains({GRAMS.format(x='x')}, g))) AS n FROM i")(
+    lambda t: rows_sh(t).select("k", F.size(V.set_difference_both(V.shingles(c("x"), 3), V.shingles(c("y"), 3))).cast("long").alias("n")))
 query("fn_identity_coverage", "SELECT p_partkey AS k, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS identity FROM part")(
     lambda t: t.part.select(c("p_partkey").alias("k"), F.round(1 - F.levenshtein("p_name", "p_type") / F.greatest(F.length("p_name"), F.length("p_type")), 6).alias("identity")))
 query("fn_mean_bfactor", "WITH b AS (SELECT l_orderkey AS k, count(*) AS n, avg(l_quantity / 50) AS m, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1) SELECT k, round(CASE WHEN lo = hi THEN NULL WHEN m <= 1 THEN m * 100 ELSE m END, 4) AS v FROM b")(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from holdfast.operators import aggregates as A
 from holdfast.operators import metrics as M
+from holdfast.operators import ordered as O
 from holdfast.operators import selection as S
 from holdfast.operators.frames import first_per_key
 from holdfast.plans.registry import over, query
@@ -152,7 +153,7 @@ query("met_hit_coverage", "WITH h AS (SELECT DISTINCT l_partkey FROM lineitem WH
     lambda t: t.part.join(t.lineitem.filter("l_quantity > 48").select("l_partkey").distinct(), c("p_partkey") == c("l_partkey"), "left").agg(F.count("*").alias("queries"), F.count("l_partkey").alias("hits"), (F.count("*") - F.count("l_partkey")).alias("no_hit"), F.round(F.try_divide(F.count("l_partkey"), F.count("*")), 6).alias("coverage")))
 
 # Windows
-query("win_rank_average", f"SELECT o_orderkey AS k, {RANK.format(x='o_totalprice')} AS r FROM orders")(lambda t: A.average_rank(t.orders, "o_totalprice", "r").select(c("o_orderkey").alias("k"), "r"))
+query("win_rank_average", f"SELECT o_orderkey AS k, {RANK.format(x='o_totalprice')} AS r FROM orders")(lambda t: O.average_rank(t.orders, "o_totalprice", "r").select(c("o_orderkey").alias("k"), "r"))
 rows_g, head_g = over("orders", "o_orderkey AS k", "CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_custkey END AS g", "o_orderkey % 3 AS r")
 query("win_group_min_transform", head_g + "SELECT k, min(r) OVER (PARTITION BY g) AS m FROM i")(lambda t: S.group_min(rows_g(t), ["g"], "r", "m").select("k", "m"))
 query("win_running_count", "WITH d AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1) SELECT day, coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d")(

@@ -8,7 +8,9 @@ With one lane, two fingerprints that differ in at most four bits agree in four b
 least, and all choices are filed: no link is lost. With more lanes a bounded number of
 choices is filed, and the tests measure what it finds. Those that meet are verified by
 their differing bits, and, for near copies by word shingles, by their shingles. Equal fingerprints are one entry, and of the links in a list only a
-spanning forest leaves the task, so copies are never expanded into pairs.
+spanning forest leaves the task, so copies are never expanded into pairs. Lists are
+counted first, and one that is too long for a task is dealt into blocks, each pair of
+blocks being a list of its own.
 """
 
 from __future__ import annotations
@@ -173,7 +175,22 @@ def node(lanes: int, prefix: str = "f"):
     return F.col(prefix + "0") if lanes == 1 else F.xxhash64(*names(lanes, prefix))
 
 
-def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choices: int | None = None, tight: int | None = None) -> DataFrame:
+def split_lists(filed: DataFrame, entries: list[str], cap: int, n: int) -> DataFrame:
+    """filed with other keys, so that every list has some 2 * cap rows at most: a longer one is dealt into blocks by hash, and its rows go to the list of each pair of blocks that theirs is in. Any two rows of a list still meet.
+
+    The long lists are broadcast: there are fewer than rows / cap of them, and the cap
+    grows with the number of rows, n, so that they stay under a million.
+    """
+    cap = max(cap, n // 1_000_000)
+    long = written(filed.groupBy("key").count().filter(F.col("count") > cap).select("key", F.ceil(F.col("count") / cap).cast("int").alias("_blocks")), "long-lists")
+    own = F.pmod(F.xxhash64(F.lit("block"), *entries), F.col("_blocks")).cast("int")
+    dealt = filed.join(F.broadcast(long), "key", "left").withColumn("_own", own)
+    dealt = dealt.withColumn("_other", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))))
+    key = F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    return dealt.select(key.alias("key"), *entries)
+
+
+def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choices: int | None = None, tight: int | None = None, cap: int = 1 << 16) -> DataFrame:
     """Edges u, v, d among the nodes of distinct fingerprints f0, ..., with their differing bits: enough to join all that are linked by chains of at most `bits` differing bits, or `tight` ones, and share a list."""
     keys = []
     for k, kept in enumerate(chosen(8 * lanes, share, choices)):
@@ -181,6 +198,7 @@ def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choi
         signed = [m - (1 << 64) if m >> 63 else m for m in masks]
         keys.append(F.xxhash64(F.lit(k), *[F.col(f"f{lane}").bitwiseAND(F.lit(m).cast("long")) for lane, m in enumerate(signed) if m]))
     filed = prints.select(F.explode(F.array(*keys)).alias("key"), *names(lanes))
+    filed = split_lists(filed, names(lanes), cap, prints.count() * len(keys))
     us, vs = names(lanes, "u"), names(lanes, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

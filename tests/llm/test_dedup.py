@@ -88,8 +88,8 @@ def groups_of(values, near):
     return [find(i) for i in range(len(values))]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_links_lose_nothing(spark, seed):
+@pytest.mark.parametrize("seed,cap", [(0, 1 << 16), (1, 4), (2, 2)])
+def test_links_lose_nothing(spark, seed, cap):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(12)]
     values = [0]
@@ -103,13 +103,20 @@ def test_links_lose_nothing(spark, seed):
     want = groups_of(values, lambda a, b: (a ^ b).bit_count() <= 4)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(s,) for s in signed], "f0 long").repartition(3)
-    roots = {r.f0: r.root for r in simhash.rooted(df, 1, 4, 4, None).collect()}
+    roots = {r.node: r.root for r in components.components(simhash.links(df, cap=cap).select("u", "v")).collect()}
+    roots = {s: roots.get(s, s) for s in signed}
     got: dict = {}
     for s, w in zip(signed, want, strict=True):
         got.setdefault(roots[s], set()).add(w)
     assert all(len(x) == 1 for x in got.values()) and len(got) == len(set(want))
 
 
+def test_long_lists_are_split(spark):
+    df = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, 5)], "key long, f0 long")
+    got = [r["count"] for r in simhash.split_lists(df, ["f0"], 100, 1001).groupBy("key").count().collect()]
+    assert max(got) < 300 and len(got) == 1 + 55 and sum(got) == 1 + 1000 * 10
+
+
 def test_lists_over_batches():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 30, 500))

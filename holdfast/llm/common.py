@@ -3,29 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.sources import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="holdfast-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared.scratch(spark, name)
     atexit.register(drop_path, spark, path)
     return path
 

@@ -44,22 +44,21 @@ def covered(documents: DataFrame) -> DataFrame:
 
 def with_cut_text(documents: DataFrame, text: str, n_lines: str, n_removed: str, n_left: str) -> DataFrame:
     """documents with new columns: the text without its covered lines, the numbers of lines, of lines removed, and of lines with a word that are left."""
-    hashed = fresh(documents, "_text_hash")
-    cover = covered(documents.select("doc_id", "text")).select(F.col("doc_id").alias("_cover_id"), F.col("text_hash").alias("_cover_hash"), F.col("cover").alias("_cover"))
+    hashed, c_id, c_hash, c_lines, left_lines = (fresh(documents, c) for c in ("_text_hash", "_cover_id", "_cover_hash", "_cover", "_left"))
+    cover = covered(documents.select("doc_id", "text")).select(F.col("doc_id").alias(c_id), F.col("text_hash").alias(c_hash), F.col("cover").alias(c_lines))
     own = documents.withColumn(hashed, F.xxhash64("text"))
-    joined = own.join(cover, (own[hashed] == cover["_cover_hash"]) & own["doc_id"].cast("long").eqNullSafe(cover["_cover_id"]), "left")
+    joined = own.join(cover, (own[hashed] == cover[c_hash]) & own["doc_id"].cast("long").eqNullSafe(cover[c_id]), "left")
     lines = lines_of(F.col("text"))
-    kept = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_cover")), lambda i: F.get(ls, i))
-    left = F.when(F.col("_cover").isNull(), lines).otherwise(F.element_at(F.transform(F.array(lines), kept), 1))
-    joined = joined.withColumn("_left", left)
+    kept = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(c_lines)), lambda i: F.get(ls, i))
+    joined = joined.withColumn(left_lines, F.when(F.col(c_lines).isNull(), lines).otherwise(F.element_at(F.transform(F.array(lines), kept), 1)))
     return joined.withColumns(
         {
-            text: F.array_join("_left", "\n"),
-            n_lines: F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            n_removed: F.coalesce(F.size("_cover"), F.lit(0)).cast("long"),
-            n_left: F.coalesce(F.size(F.filter("_left", lambda x: x.rlike(HAS_WORD))), F.lit(0)).cast("long"),
+            text: F.array_join(left_lines, "\n"),
+            n_lines: F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
+            n_removed: F.coalesce(F.when(F.col(c_lines).isNotNull(), F.size(c_lines)), F.lit(0)).cast("long"),
+            n_left: F.coalesce(F.when(F.col(left_lines).isNotNull(), F.size(F.filter(left_lines, lambda x: x.rlike(HAS_WORD)))), F.lit(0)).cast("long"),
         }
-    ).drop("_left", "_cover", "_cover_id", "_cover_hash", hashed)
+    ).drop(left_lines, c_lines, c_id, c_hash, hashed)
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:

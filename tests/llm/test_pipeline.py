@@ -85,3 +85,44 @@ def test_registry():
     found = __spark_entry__.queries()
     assert [sum(q.startswith(f"op{n}_") for q in found) for n in range(1, 11)] == [1] * 10 and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
+
+
+CLASHES = ["_cover", "_left", "_cut", "_text_hash", "_bad_id", "_first_id", "_words", "_lines", "_trigrams", "_statistics", "_n_left", "words", "node", "first", "root", "key", "seed", "h", "s", "f0", "salt", "rank", "doc"]
+
+
+def odd_tables(spark, folder, rows):
+    extra = ", ".join(f"{c} string" for c in CLASHES)
+    docs = spark.createDataFrame([(*r, *["x"] * len(CLASHES)) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, "short"), (None, " ".join(f"q{i}" for i in range(40)))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(None, 1, 0), (1, None, 0), (2, 0, 1), (2, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(None, None, None), (1, "", "x"), (1, "http://a.net/", None)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+
+
+def test_odd_rows_through_everything(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(90))
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [
+        (None, None, None, None, None), (1, "", "en", None, 0), (2, words, None, "a", None), (2, words, None, "a", None), (None, words + " more", "en", "b", 3), (3, long, "en", "a", 1),
+        (4, "\n".join([words] * 5), "fr", "a", 1), (5, " ".join(f"q{i}" for i in range(40)) + " " + words[::-1], "en", "a", 2), (6, "$ " * 70, "en", "a", 2),
+    ]
+    odd_tables(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    at = docs
+    for name, stage in corpus_pipeline.STAGES:
+        at = written(stage(spark, at, str(tmp_path)), name)
+        if name != "packing":
+            assert at.columns == docs.columns
+            kept = {r.doc_id for r in at.collect()}
+    assert kept >= {2, 3} and not kept & {1, 5, 6}
+    for name, query in __spark_entry__.queries().items():
+        if name.startswith("op"):
+            assert query(spark, str(tmp_path)).count() > 0, name
+
+
+def test_empty_tables_through_everything(spark, tmp_path):
+    odd_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, query in __spark_entry__.queries().items():
+        if name.startswith("op") and not name.startswith("op1_"):
+            assert query(spark, str(tmp_path)).count() == 0, name

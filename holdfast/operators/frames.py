@@ -14,6 +14,11 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def joinable(df: DataFrame) -> DataFrame:
+    """An aggregate that is to be joined back to its rows. AQE splits a hot key of a join only where both sides come straight from a shuffle for the join, so the aggregate gets a shuffle of its own; it has a row for each key and is the small side."""
+    return df.hint("rebalance")
+
+
 def map_distinct(df: DataFrame, column: str, into: str, fn: Callable[[Column], Column]) -> DataFrame:
     """fn over the distinct values of a column, joined back: for functions that cost more than a shuffle of the keys. Nulls map to null."""
     found = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn(into, fn(F.col(column)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.operators.frames import first_per_key
+from holdfast.operators.frames import first_per_key, joinable
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,7 +48,7 @@ def follow_alias(entries: DataFrame) -> DataFrame:
 def preferred_or_fallback(hits: DataFrame, key: str, preferred: str) -> DataFrame:
     """Preferred hits of a key if it has any, else all of its hits."""
     any_ = hits.groupBy(key).agg(F.bool_or(preferred).alias("_any"))
-    return hits.join(any_, key).filter(~F.col("_any") | F.col(preferred)).drop("_any")
+    return hits.join(joinable(any_), key).filter(~F.col("_any") | F.col(preferred)).drop("_any")
 
 
 def tokens_text(x: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.operators.frames import top_per_key
+from holdfast.operators.frames import joinable, top_per_key
 
 
 def group_min(df: DataFrame, keys: list[str], x: str, into: str) -> DataFrame:
@@ -25,7 +25,7 @@ def group_min(df: DataFrame, keys: list[str], x: str, into: str) -> DataFrame:
     for k in keys:
         one = F.col(k).eqNullSafe(F.col("_" + k))
         same = one if same is None else same & one
-    return df.join(least, same).drop(*["_" + k for k in keys])
+    return df.join(joinable(least), same).drop(*["_" + k for k in keys])
 
 
 def running_before(df: DataFrame, order: str, x: str, into: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators.frames import first_per_key
+from holdfast.operators.frames import first_per_key, joinable
 
 #: Sources in order of preference, and the coverage and identity that a match needs.
 SOURCES = ("alphafold", "esmfold2", "esm3")
@@ -32,7 +32,7 @@ def choose(candidates: DataFrame) -> DataFrame:
 def select_chain(chains: DataFrame) -> DataFrame:
     """Per pdb the chain that matches best, among those of the accession if it has any. chains: pdb, chain, of_accession, identity, coverage."""
     any_ = chains.groupBy("pdb").agg(F.bool_or("of_accession").alias("_any"))
-    own = chains.join(any_, "pdb").filter(~F.col("_any") | F.col("of_accession")).drop("_any")
+    own = chains.join(joinable(any_), "pdb").filter(~F.col("_any") | F.col("of_accession")).drop("_any")
     own = own.filter((F.col("identity") >= LEAST_IDENTITY) & (F.col("coverage") >= LEAST_COVERAGE))
     return first_per_key(own, ["pdb"], [F.col("coverage").desc(), F.col("identity").desc(), F.col("chain")])
 

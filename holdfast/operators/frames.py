@@ -26,10 +26,11 @@ def map_distinct(df: DataFrame, column: str, into: str, fn: Callable[[Column], C
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the first in an order that must be total: the least (order, row) struct where all parts sort, so a hot key is aggregated before the shuffle."""
+    """One row for each key, the first in an order that must be total. Spark limits the groups before the shuffle, so a hot key costs a row for each task."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
+    """The first n rows of each key; at most n of a key leave a task."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)

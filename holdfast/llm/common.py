@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.sources import shared
+from holdfast.sources.shared import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = shared.scratch(spark, name)
-    atexit.register(drop_path, spark, path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path; at exit the JVM may already be gone, and then nothing is left to do."""
-    jvm = spark.sparkContext._jvm
-    if spark.sparkContext._jsc is None or jvm is None:
-        return
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the gateway closes at an unknown point of the interpreter's exit
-        return
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and its lineage cut, so that a lost executor costs a reread."""
     spark = df.sparkSession

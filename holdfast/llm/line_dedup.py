@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import table
 from holdfast.llm.quality import HAS_WORD, fresh
+from holdfast.operators.frames import joinable
 
 
 def lines_of(text: Column) -> Column:
@@ -38,7 +39,7 @@ def covered(documents: DataFrame) -> DataFrame:
     found = windows(documents.filter("text is not null"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("p0").alias("p"))
     repeated = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    later = found.join(repeated, ["k1", "k2"]).filter(place > F.col("first"))
+    later = found.join(joinable(repeated), ["k1", "k2"]).filter(place > F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set(F.array("p0", "p1", "p2")))).alias("cover"))
 
 

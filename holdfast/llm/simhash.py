@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from holdfast.llm.common import table, written
 from holdfast.llm.components import components
 from holdfast.llm.quality import fresh
+from holdfast.operators.frames import joinable
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER, LOWER)
@@ -230,7 +231,7 @@ def near_dedup(documents: DataFrame, shingle: int = 4, bits: int = 4, seed: int
     distinct = prints.groupBy("f0").agg(F.min("doc_id").alias("least"))
     known = written(rooted(distinct, 1, bits, 8 - bits, None), "roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = known.join(least, "root").select("f0", "component_id")
+    groups = known.join(joinable(least), "root").select("f0", "component_id")
     return prints.join(groups, "f0").select("doc_id", F.col("f0").alias("fingerprint"), "component_id")
 
 

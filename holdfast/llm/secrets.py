@@ -17,8 +17,10 @@ import json
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -222,11 +224,14 @@ def varied(text: str) -> list[tuple[list[list[str]], list[int]]]:
 
 
 def _tagged(text: str, spans: list[Span]) -> list[tuple[list[list[str]], list[int]]]:
-    out = []
+    out, at = [], 0
+    spans = sorted(spans)
     for tokens, chain in islands(text):
         tags, last = [], None
         for start, end in tokens:
-            own = next((k for k, (a, _, b) in enumerate(spans) if a < end and start < b), None)
+            while at < len(spans) and spans[at][2] <= start:  # spans of a text are found from left to right, like its tokens
+                at += 1
+            own = next((k for k in range(at, len(spans)) if spans[k][0] < end and start < spans[k][2]), None) if at < len(spans) and spans[at][0] < end else None
             tags.append(O if own is None else I if own == last and tags and tags[-1] != O else B)
             last = own
         out.append((chain, tags))
@@ -238,12 +243,19 @@ def scan(text: str | None, field: Field | None) -> tuple[int, int, int, str, str
     text = text or ""
     base = base_spans(text)
     added: list[Span] = []
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+
+    def free(start: int, end: int) -> bool:
+        """No base span overlaps: of those that start before the end, none reaches past the start."""
+        k = bisect_left(starts, end)
+        return k == 0 or reach[k - 1] <= start
+
     if field is not None:
         for tokens, chain in islands(text):
             begun = None
             for (start, end), tag in zip([*tokens, (0, 0)], [*field.viterbi(chain), O], strict=True):
                 if tag != I and begun is not None:
-                    if not any(a < begun[1] and begun[0] < b for a, _, b in base):
+                    if free(*begun):
                         added.append((begun[0], 3, begun[1]))
                     begun = None
                 if tag == B:

@@ -231,7 +231,7 @@ def _tagged(text: str, spans: list[Span]) -> list[tuple[list[list[str]], list[in
         for start, end in tokens:
             while at < len(spans) and spans[at][2] <= start:  # spans of a text are found from left to right, like its tokens
                 at += 1
-            own = next((k for k in range(at, len(spans)) if spans[k][0] < end and start < spans[k][2]), None) if at < len(spans) and spans[at][0] < end else None
+            own = at if at < len(spans) and spans[at][0] < end else None
             tags.append(O if own is None else I if own == last and tags and tags[-1] != O else B)
             last = own
         out.append((chain, tags))

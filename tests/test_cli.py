@@ -28,3 +28,14 @@ def test_lists(capsys):
     assert "spl_time_grouped" in capsys.readouterr().out.split()
     with pytest.raises(SystemExit):
         cli.main([])
+
+
+def test_shared_folder_without_the_setting():
+    from types import SimpleNamespace
+
+    from holdfast.sources import shared
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="app-x"))
+    assert shared.shared_dir(unset) == shared.shared_dir(unset) and shared.shared_dir(unset).startswith("file:///")
+    given = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "hdfs://n/c/"), sparkContext=None)
+    assert shared.shared_dir(given) == "hdfs://n/c"

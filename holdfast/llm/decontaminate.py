@@ -28,6 +28,7 @@ WINDOW = 20
 SHARE = 0.8
 SHORTEST = 10  # items of fewer tokens can't be told from chance, and are not looked for
 BLOCK_SEEDS = 1_000_000
+AT_ONCE = 4096  # positions of a document that are laid out at a time, so that memory does not grow with its length
 
 
 def tokens_of(text: Column) -> Column:
@@ -40,8 +41,9 @@ def seeds_at_positions(df: DataFrame, h: str, masks: tuple[str, ...], short: Col
     """df with a row for each position of array h and mask that fits there: p from 0, seed. The masks for short items are laid where `short` holds, by default everywhere."""
     plain, masks = len(masks), masks + SHORT_MASKS
     span = max(map(len, masks))
-    ahead = [F.slice(F.col(h), k + 1, F.size(h) + 1).alias(f"t{k}") for k in range(span)]
-    rows = df.select("*", F.posexplode(F.arrays_zip(*ahead)).alias("p", "z"))
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(AT_ONCE))).alias("from"))
+    ahead = [F.slice(F.col(h), F.col("from") + k + 1, F.lit(AT_ONCE)).alias(f"t{k}") for k in range(span)]
+    rows = blocks.select("*", F.posexplode(F.arrays_zip(*ahead)).alias("in_block", "z")).withColumn("p", F.col("from") + F.col("in_block")).drop("from", "in_block")
     at = lambda k: F.col("z")[f"t{k}"]
     fits = lambda n, m: at(len(m) - 1).isNotNull() if short is None or n < plain else at(len(m) - 1).isNotNull() & short
     seeds = [F.when(fits(n, m), F.xxhash64(F.lit(n), *[at(k) for k, c in enumerate(m) if c == "1"])) for n, m in enumerate(masks)]

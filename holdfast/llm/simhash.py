@@ -176,16 +176,20 @@ def node(lanes: int, prefix: str = "f"):
     return F.col(prefix + "0") if lanes == 1 else F.xxhash64(*names(lanes, prefix))
 
 
-def split_lists(filed: DataFrame, entries: list[str], cap: int, n: int) -> DataFrame:
+def split_lists(filed: DataFrame, entries: list[str], cap: int, n: int, bins: int = 1 << 16) -> DataFrame:
     """filed with other keys, so that every list has some 2 * cap rows at most: a longer one is dealt into blocks by hash, and its rows go to the list of each pair of blocks that theirs is in. Any two rows of a list still meet.
 
-    The long lists are broadcast: there are fewer than rows / cap of them, and the cap
-    grows with the number of rows, n, so that they stay under a million.
+    Rows are counted in bins of keys, n rows over so many bins that few of them share one;
+    a bin below the cap has no long list. The counts are combined before the shuffle. The
+    keys of a bin above it are all dealt into blocks, which costs only copies. Such bins
+    are fewer than n / cap, and are broadcast; the cap grows with n, so they stay under a
+    million.
     """
-    cap = max(cap, n // 1_000_000)
-    long = written(filed.groupBy("key").count().filter(F.col("count") > cap).select("key", F.ceil(F.col("count") / cap).cast("int").alias("_blocks")), "long-lists")
+    bins, cap = max(bins, n // 4096), max(cap, n // 1_000_000)
+    bin_ = F.pmod(F.col("key"), F.lit(bins))
+    long = written(filed.groupBy(bin_.alias("_bin")).count().filter(F.col("count") > cap).select("_bin", F.ceil(F.col("count") / cap).cast("int").alias("_blocks")), "long-lists")
     own = F.pmod(F.xxhash64(F.lit("block"), *entries), F.col("_blocks")).cast("int")
-    dealt = filed.join(F.broadcast(long), "key", "left").withColumn("_own", own)
+    dealt = filed.withColumn("_bin", bin_).join(F.broadcast(long), "_bin", "left").withColumn("_own", own)
     dealt = dealt.withColumn("_other", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))))
     key = F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")))
     return dealt.select(key.alias("key"), *entries)

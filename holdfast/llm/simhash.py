@@ -111,7 +111,7 @@ def forest(entries: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int, tight: int | None = None, small: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """From (keys, fingerprints) in the order of keys, edges that join all fingerprints of a key which are linked: all pairs of lists up to `small`, forests of longer ones, one for `tight` bits too. Lists may run over batches; of a list, only the fingerprints are held."""
+    """From (keys, fingerprints), in their order so that retries give the same, edges that join all fingerprints of a key which are linked: all pairs of lists up to `small`, forests of longer ones, one for `tight` bits too. Lists may run over batches; of a list, only the fingerprints are held."""
     held: list[np.ndarray] = []
     held_key = None
 
@@ -202,7 +202,9 @@ def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choi
         masks = [sum(0xFF << (8 * (p % 8)) for p in kept if p // 8 == lane) for lane in range(lanes)]
         signed = [m - (1 << 64) if m >> 63 else m for m in masks]
         keys.append(F.xxhash64(F.lit(k), *[F.col(f"f{lane}").bitwiseAND(F.lit(m).cast("long")) for lane, m in enumerate(signed) if m]))
-    filed = prints.select(F.explode(F.array(*keys)).alias("key"), *names(lanes))
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.repartition(tasks)  # fingerprints are small, but each becomes a row for every choice: AQE would put them into few tasks
+    filed = spread.select(F.explode(F.array(*keys)).alias("key"), *names(lanes))
     filed = split_lists(filed, names(lanes), cap, prints.count() * len(keys))
     us, vs = names(lanes, "u"), names(lanes, "v")
 
@@ -212,7 +214,7 @@ def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choi
             columns = [pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for x in (u, v) for k in range(lanes)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(differing(u, v).astype(np.int64))], names=[*us, *vs, "d"])
 
-    found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in [*us, *vs, "d"]))
+    found = filed.repartition("key").sortWithinPartitions("key", *names(lanes)).mapInArrow(run, ", ".join(f"{c} long" for c in [*us, *vs, "d"]))
     return found.select(node(lanes, "u").alias("u"), node(lanes, "v").alias("v"), "d").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "d").distinct()
 
 

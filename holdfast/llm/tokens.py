@@ -21,16 +21,17 @@ def tokenizer_path(name: str) -> str:
 class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit integers. memo: chunks kept at most, twice that for a moment.
 
-    A chunk of ASCII letters, digits and marks alone falls, in lower case, into pieces that
-    the tokenizer's own pattern makes of it (letters; one digit; marks), and these go to the
-    library's model; all other chunks go to the whole tokenizer.
+    A chunk of ASCII letters, digits and marks and Latin-1 letters alone falls, in lower
+    case, into pieces that the tokenizer's own pattern makes of it (letters; one digit;
+    marks), and these go to the library's model, as the characters that byte-level
+    tokenizers write for their bytes; all other chunks go to the whole tokenizer.
     """
 
     LONGEST = 64
-    PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-    PLAIN = re.compile(rb"[!-&(-;=-~]+")  # printable, without ' (contractions) and < (added tokens)
+    PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")  # printable, without ' (contractions) and < (added tokens)
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,15 +40,18 @@ class ChunkEncoder:
         self.raw = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        shown = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.written = {b: 256 + k for k, b in enumerate(shown)}
 
-    def plain(self, chunk: bytes) -> bytes:
+    def plain(self, chunk: str) -> bytes:
         """Ids of a chunk that PLAIN matches."""
         out, known = [], self.pieces
         for piece in self.PIECES.findall(chunk.lower()):
             if (ids := known.get(piece)) is None:
                 raw = self.raw
-                ids = b"".join([raw[t.id] for t in self.model.tokenize(piece.decode("ascii"))])
+                said = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.written)
+                ids = b"".join([raw[t.id] for t in self.model.tokenize(said)])
                 if len(piece) <= self.LONGEST:
                     if len(known) >= self.memo:
                         known.clear()
@@ -62,16 +66,16 @@ class ChunkEncoder:
         for c in set(chunks).difference(young):
             if (known := old.get(c)) is not None:
                 young[c] = known
-            elif plain(c):
-                young[c] = self.plain(c)
+            elif plain(word := c.decode("utf-8")):
+                young[c] = self.plain(word)
             else:
-                missing.append(c)
+                missing.append((c, word))
             if len(c) > self.LONGEST:
                 brief.append(c)
         if missing:
             raw = self.raw
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in missing], add_special_tokens=False)
-            for c, e in zip(missing, found, strict=True):
+            found = self.tokenizer.encode_batch_fast([word for _, word in missing], add_special_tokens=False)
+            for (c, _), e in zip(missing, found, strict=True):
                 young[c] = b"".join([raw[i] for i in e.ids])
         ids = b"".join([young[c] for c in chunks])
         for c in brief:

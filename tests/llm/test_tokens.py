@@ -39,7 +39,7 @@ def test_chunks_give_the_ids_of_whole_texts():
     rng = random.Random(1)
     marks = list("aZz09.,!'<>|~*#rng = random.Random(1)") + ["the", "'s", " "]
     alphabet = ["a", "B", "é", "'", "s", " ", "\n", "\x1c", "\x85", "　", "́", "1", "<|endoftext|>", "*", "Σ"]
-    for text in [t for t in TEXTS if t] + ["".join(rng.choices(alphabet, k=30)) for _ in range(500)] + ["".join(rng.choices(marks, k=30)) for _ in range(500)]:
+    for text in [t for t in TEXTS if t] + ["".join(rng.choices(alphabet, k=30)) for _ in range(500)] + ["".join(rng.choices(marks, k=30)) for _ in range(2000)]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 

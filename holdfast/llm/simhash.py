@@ -5,16 +5,20 @@ choices of `share` positions; a choice's list is the intersection of the posting
 its (position, byte) pairs, so two fingerprints meet in a list only if their tally of
 shared positional bytes reaches `share`, and no pair with a lower tally is looked at.
 With one lane, two fingerprints that differ in at most four bits agree in four bytes at
-least, and all choices are filed: no link is lost. With more lanes a bounded number of
-choices is filed, and the tests measure what it finds. Those that meet are verified by
-their differing bits, and, for near copies by word shingles, by their shingles. Equal fingerprints are one entry, and of the links in a list only a
+least, and all choices are filed: no link is lost. Those that meet are verified by their
+differing bits. Equal fingerprints are one entry, and of the links in a list only a
 spanning forest leaves the task, so copies are never expanded into pairs. Lists are
 counted first, and one that is too long for a task is dealt into blocks, each pair of
 blocks being a list of its own.
+
+The pipeline's near copies are pairs of a Jaccard similarity of word shingles, which no
+number of bits or bytes guarantees. They are found without fingerprints, by an exact
+prefix filter, and every link is verified by whole sets (keep_one_of_each).
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import combinations
@@ -34,7 +38,7 @@ from holdfast.operators.frames import joinable
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER, LOWER)
 
-#: For near copies: shingles of five words and a Jaccard similarity of 0.8, which leads to 39 of 256 differing bits on average, give or take 6. Up to `tight` bits a pair is one for sure (0.92 on average), up to `loose` its shingles are compared.
+#: For near copies: shingles of five words and a Jaccard similarity of 0.8. The others are those of an index over sampled choices, which the stage does not use any more: it lost pairs, and took pairs under 0.8 for copies.
 NEAR = {"shingle": 5, "similarity": 0.8, "lanes": 4, "tight": 24, "loose": 62, "share": 3, "choices": 160}
 
 
@@ -242,16 +246,44 @@ def near_dedup(documents: DataFrame, shingle: int = 4, bits: int = 4, seed: int
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct hashes of the word shingles; of the whole where there are fewer words, none without words."""
+    """Distinct hashes of the word shingles, in order; of the whole where there are fewer words, none without words."""
     words = (text or "").encode("utf-8").translate(TO_LOWER).split()
     own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    return np.fromiter(own, np.uint64, len(own)).view(np.int64)
+    return np.sort(np.fromiter(own, np.uint64, len(own)).view(np.int64))
+
+
+def overlap(n: int, similarity: float) -> int:
+    """How many of its n shingles a text shares, at least, with any other of the similarity."""
+    return max(1, math.ceil(similarity * n - 1e-9))
+
+
+def spare(n: int) -> int:
+    return max(1, n // 5)
+
+
+def head(n: int, similarity: float) -> int:
+    """In any one order of all shingles, two texts of the similarity share `spare` of the shorter's n among their first so many, as each has no more than n - overlap that the other lacks."""
+    return min(n, n - overlap(n, similarity) + spare(n))
+
+
+def shingle_sets(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Per row: doc_id, text_hash, node (a hash of the set of shingles), n (its size), need (how many of its head another text must share) and head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
+            nodes = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in grams], np.uint64).view(np.int64)
+            needs = [spare(overlap(len(g), similarity)) for g in grams]
+            heads = pa.array([g[: head(len(g), similarity)] for g in grams], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), pa.array(needs, pa.int64()), heads], names=["doc_id", "text_hash", "node", "need", "head"])
+
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return own.mapInArrow(run, "doc_id long, text_hash long, node long, need long, head array<long>")
 
 
-def alike(pairs: DataFrame, places: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs u, v, ... of nodes whose documents have the Jaccard similarity. places: node, first (n, doc_id, text_hash)."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = places.join(nodes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+def grams_of(places: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
+    """node, grams of the documents that stand for the nodes. places: node, first (n, doc_id, text_hash)."""
+    wanted = places.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = own.join(wanted, (own["text_hash"] == wanted["_hash"]) & own["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
 
@@ -260,33 +292,114 @@ def alike(pairs: DataFrame, places: DataFrame, documents: DataFrame, shingle: in
             grams = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    grams = written(texts.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"]), "grams")
-    both = pairs.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("_a")), "u").join(grams.select(F.col("node").alias("v"), F.col("grams").alias("_b")), "v")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).drop("_a", "_b")
+    return texts.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
+
+
+def candidate_groups(grams: DataFrame, similarity: float) -> DataFrame:
+    """node, root: components of the texts that share one of their rarest shingles, as all pairs of the similarity do. Those that share none are left out.
+
+    Of n shingles, the n - overlap + 1 with the fewest texts are filed.
+    """
+    n = F.size("grams")
+    rows = grams.select("node", n.alias("n"), F.explode("grams").alias("h"))
+    counts = written(rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "gram-counts")
+    common = rows.join(joinable(counts), "h")
+    kept = F.col("n") - F.greatest(F.lit(1), F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9))) + 1
+    alone = F.col("n") - F.size("of")  # those of no other text are the rarest
+    filed = common.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("of"))
+    filed = written(filed.select("node", F.explode(F.slice("of", F.lit(1), F.greatest(F.lit(0), kept - alone).cast("int"))).alias("x")).select("node", F.col("x.h").alias("h")), "filed")
+    least = filed.groupBy("h").agg(F.min("node").alias("v"))
+    return components(filed.join(joinable(least), "h").select(F.col("node").alias("u"), "v"))
+
+
+def alike(sides: np.ndarray, grams: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest of all pairs that have the similarity, on two sides if there are two. Every such pair is looked at unless its texts are joined already; shared shingles are counted over posting lists, which lose what is reached."""
+    n, sizes = len(grams), np.array([len(g) for g in grams])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.unique(np.concatenate(grams), return_inverse=True)[1]
+    by_id = np.argsort(ids, kind="stable")
+    terms, holders = ids[by_id], np.repeat(np.arange(n), sizes)[by_id]
+    rest, left, whole = np.ones(n, bool), n, (sides == sides[0]).all()
+    begins = np.searchsorted(terms, np.arange(len(ids) + 1))
+    for first in range(n):
+        if not rest[first]:
+            continue
+        rest[first] = False
+        queue = [first]
+        while queue and rest.any():
+            x = queue.pop()
+            if 2 * rest.sum() < left:
+                left = rest.sum()
+                terms, holders = terms[rest[holders]], holders[rest[holders]]
+                begins = np.searchsorted(terms, np.arange(len(ids) + 1))
+            own = ids[bounds[x] : bounds[x + 1]]
+            lengths = begins[own + 1] - begins[own]
+            at = np.repeat(begins[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            shared = np.bincount(holders[at], minlength=n)
+            near = rest & (shared >= similarity * (sizes + sizes[x] - shared))
+            if not whole:
+                near &= sides != sides[x]
+            found = np.flatnonzero(near)
+            if len(found):
+                rest[found] = False
+                yield np.full(len(found), x), found
+                queue.extend(found.tolist())
+
+
+def verified_links(grams: DataFrame, groups: DataFrame, similarity: float, cap: int = 1024) -> DataFrame:
+    """Edges u, v that join all nodes of a group which have the similarity by chains. A group of more than `cap` is dealt into blocks, 32 at most, and each pair of blocks is a list of its own, so any two of a group meet."""
+    sizes = written(groups.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "group-sizes")
+    blocks = F.ceil(F.col("size") / F.greatest(F.lit(cap), F.ceil(F.col("size") / 32))).cast("int")
+    dealt = groups.join(joinable(sizes.withColumn("blocks", blocks)), "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "own", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    lists = grams.join(dealt, "node").select("key", "own", "node", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                nodes = np.array([r[1] for r in rows], np.int64)
+                for u, v in alike(np.array([r[0] for r in rows]), [r[2] for r in rows], similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
+
+        held: list[tuple[int, int, np.ndarray]] = []
+        held_key = None
+        for batch in batches:
+            column = batch.column("grams")
+            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+            for k, (key, own, node_) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "own", "node")], strict=True)):
+                if key != held_key:
+                    yield from closed(held)
+                    held, held_key = [], key
+                held.append((own, node_, values[offsets[k] : offsets[k + 1]]))
+        yield from closed(held)
+
+    return lists.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
 
 
-def keep_one_of_each(documents: DataFrame, shingle: int = NEAR["shingle"], similarity: float = NEAR["similarity"], lanes: int = NEAR["lanes"], tight: int = NEAR["tight"], loose: int = NEAR["loose"], share: int = NEAR["share"], choices: int | None = NEAR["choices"]) -> DataFrame:
+def keep_one_of_each(documents: DataFrame, shingle: int = NEAR["shingle"], similarity: float = NEAR["similarity"]) -> DataFrame:
     """The document with the least doc_id (null last) of each component, with its columns as they were. Rows equal in doc_id and text are one document, and stay or go together.
 
-    Links are pairs of at most `tight` differing bits, and pairs of at most `loose` whose
-    shingles have the similarity. Pairs that the first kind has already joined are not compared.
+    Links are all pairs whose sets of shingles have the Jaccard similarity; texts without
+    words are alike. First the texts that may have a partner at all are found, by the heads
+    of their shingles in order of hash; those are grouped by their rarest shingles, and
+    compared by whole sets within the groups.
     """
     hashed = fresh(documents, "_text_hash")
-    prints = written(fingerprints(documents, shingle, 42, lanes), "prints")
+    sets = written(shingle_sets(documents, shingle, similarity), "sets")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    places = written(prints.groupBy(*names(lanes)).agg(F.min(order).alias("first")).withColumn("node", node(lanes)), "places")
-    edges = written(links(places.select(*names(lanes)), lanes, loose, share, choices, tight), "links")
-    roots = components(edges.filter(F.col("d") <= tight).select("u", "v"))
-
-    def root_of(df: DataFrame, of: str, roots: DataFrame, into: str) -> DataFrame:
-        own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        return df.join(own, F.col(of) == F.col("_node"), "left").withColumn(into, F.coalesce("_root", of)).drop("_node", "_root")
-
-    apart = root_of(root_of(edges.filter(F.col("d") > tight).select("u", "v"), "u", roots, "a"), "v", roots, "b").filter("a <> b")
-    more = alike(written(apart, "pairs"), places, documents, shingle, similarity)
-    joined = components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    final = root_of(root_of(places.select("node", "first"), "node", roots, "own"), "own", joined, "root")
+    places = written(sets.groupBy("node", "need").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "places")
+
+    rows = sets.select("node", F.explode("head").alias("h"))
+    shared = written(rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("h"), "shared")
+    found = rows.join(joinable(shared), "h").groupBy("node").agg(F.count("*").alias("found"))
+    paired = places.join(found, "node").filter(F.col("found") >= F.col("need") * F.col("copies")).select("node", "first")
+
+    grams = written(grams_of(paired, documents, shingle), "grams")
+    groups = written(candidate_groups(grams, similarity), "groups")
+    roots = components(verified_links(grams, groups, similarity))
+
+    final = places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = final.groupBy("root").agg(F.min("first").alias("first"))
     first = first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_hash").alias("_first_hash"))
     own = documents.withColumn(hashed, F.xxhash64("text"))

@@ -176,6 +176,51 @@ def test_one_of_each_near_copy_stays(spark):
     assert len(kept & set(near)) <= 0.1 * len(near)
 
 
+def fresh_words(rng, n):
+    return [f"w{rng.getrandbits(40)}" for _ in range(n)]
+
+
+def grams_of(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = fresh_words(rng, 1)[0]
+    return words
+
+
+def kept_of(spark, texts):
+    """Which of the texts stay, and which should by plain Jaccard over all pairs."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id for r in simhash.keep_one_of_each(df).collect()}, set(groups_of([grams_of(t.split()) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b)))
+
+
+def test_near_copies_within_a_large_loose_group(spark):
+    rng = random.Random(10)
+    base = fresh_words(rng, 400)
+    texts = [" ".join(base)]
+    for _ in range(30):
+        own = changed(rng, base, 26)
+        texts += [" ".join(own), " ".join(changed(rng, own, 6))]
+    got, want = kept_of(spark, texts)
+    assert got == want and 20 <= len(want) <= 40
+
+
+def test_blocks_of_a_group_lose_no_link(spark):
+    rng = random.Random(14)
+    base = fresh_words(rng, 200)
+    grams = [np.unique(np.array([hash(tuple(w[i : i + 5])) for i in range(196)], np.int64)) for w in (changed(rng, base, rng.randint(3, 8)) for _ in range(60))]
+    alike = lambda i, j: len(np.intersect1d(grams[i], grams[j])) >= 0.8 * len(np.union1d(grams[i], grams[j]))
+    want = groups_of(range(60), alike)
+    df = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(grams)], "node long, grams array<long>")
+    for cap in (1024, 7, 1):
+        edges = [(r.u, r.v) for r in simhash.verified_links(df, df.selectExpr("node", "0L as root"), 0.8, cap).collect()]
+        assert all(alike(u, v) for u, v in edges)
+        assert groups_of(range(60), lambda a, b: (a, b) in edges or (b, a) in edges) == want and 1 < len(set(want)) < 60
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1000, 1002), (5, 5)]
     random.Random(1).shuffle(edges)

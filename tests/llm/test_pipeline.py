@@ -81,6 +81,17 @@ def test_stages(spark):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect())) == Counter(map(tuple, after.select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_near_copies_by_plain_jaccard(spark):
+    """All pairs after two stages, by shingles alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = written(corpus_pipeline.line_dedup(spark, written(corpus_pipeline.quality_rules(spark, docs, SF), "quality"), SF), "lines")
+    rows = rows_of(docs)
+    ids = sorted(rows)
+    grams = [shingles(rows[d].text) for d in ids]
+    want = groups_of(range(len(ids)), lambda i, j: len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]))
+    assert set(rows_of(corpus_pipeline.near_dedup(spark, docs, SF))) == {ids[g] for g in set(want)} != set(ids)
+
+
 def test_registry():
     found = __spark_entry__.queries()
     assert [sum(q.startswith(f"op{n}_") for q in found) for n in range(1, 11)] == [1] * 10 and "pipeline" in found

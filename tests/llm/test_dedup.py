@@ -221,6 +221,22 @@ def test_blocks_of_a_group_lose_no_link(spark):
         assert groups_of(range(60), lambda a, b: (a, b) in edges or (b, a) in edges) == want and 1 < len(set(want)) < 60
 
 
+def test_recall_by_band_of_similarity(spark):
+    rng = random.Random(11)
+    texts, bands = [], {}
+    while len(texts) < 600:
+        words = fresh_words(rng, rng.randint(120, 400))
+        other = changed(rng, words, rng.randint(1, len(words) // 35))
+        a, b = grams_of(words), grams_of(other)
+        if (j := len(a & b) / len(a | b)) >= 0.8:
+            bands.setdefault(int(50 * j + 1e-9) / 50, []).append(len(texts) + 1)
+            texts += [" ".join(words), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in simhash.keep_one_of_each(df).collect()}
+    found = {b: 1 - len(got & set(ids)) / len(ids) for b, ids in sorted(bands.items())}
+    assert found == dict.fromkeys(found, 1.0) and len(bands[0.8]) >= 20 and got == set(range(0, 600, 2))
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1000, 1002), (5, 5)]
     random.Random(1).shuffle(edges)

@@ -237,6 +237,16 @@ def test_recall_by_band_of_similarity(spark):
     assert found == dict.fromkeys(found, 1.0) and len(bands[0.8]) >= 20 and got == set(range(0, 600, 2))
 
 
+def test_a_repeated_phrase_makes_no_near_copies(spark):
+    rng = random.Random(12)
+    texts = []
+    for phrase, times in ((3, 40), (5, 30), (3, 80)):
+        own = fresh_words(rng, phrase) * times
+        texts += [" ".join(fresh_words(rng, 150) + own + fresh_words(rng, 150)) for _ in range(5)]
+    got, want = kept_of(spark, texts)
+    assert got == want == set(range(15))
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1000, 1002), (5, 5)]
     random.Random(1).shuffle(edges)

@@ -247,6 +247,16 @@ def test_a_repeated_phrase_makes_no_near_copies(spark):
     assert got == want == set(range(15))
 
 
+def test_copies_that_differ_in_how_often_a_phrase_comes(spark):
+    rng = random.Random(13)
+    texts = []
+    for phrase, times in ((5, 30), (8, 20), (20, 8)):
+        before, own, after = fresh_words(rng, 150), fresh_words(rng, phrase), fresh_words(rng, 150)
+        texts += [" ".join(before + own * n + after) for n in (1, times)]
+    got, want = kept_of(spark, texts)
+    assert got == want == {0, 2, 4}
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1000, 1002), (5, 5)]
     random.Random(1).shuffle(edges)

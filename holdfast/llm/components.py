@@ -9,16 +9,22 @@ from holdfast.llm.common import written
 from holdfast.operators.frames import joinable
 
 
+def tangled(edges: DataFrame) -> bool:
+    """Whether some node has two roots, or is a root and has one: edges u, v are not yet stars."""
+    many = edges.groupBy("u").count().filter("count > 1").select("u")
+    chained = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("u"))
+    return not many.unionByName(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v (long, not null; loops and repeats do no harm). Returns node, root for every node of an edge between two nodes: root is the least node reachable.
+    """edges: u, v (long, not null; loops and repeats do no harm). Returns node, root for every node of an edge between two nodes: root is the least node reachable. An empty table gives no rows.
 
     Minima are aggregated before the shuffle, and the joins that bring them back have a
-    row for each node on one side, so AQE can split the hub of a large component.
+    row for each node on one side, so AQE can split the hub of a large component. It is
+    done when the edges are stars, which is read from the edges themselves.
     """
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while (state := tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())) != before:
-        before = state
+    while tangled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(joinable(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -1,28 +1,22 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
-A fingerprint has eight bytes for each of its lanes. The index files it under its bytes at
-choices of `share` positions; a choice's list is the intersection of the posting lists of
-its (position, byte) pairs, so two fingerprints meet in a list only if their tally of
-shared positional bytes reaches `share`, and no pair with a lower tally is looked at.
-With one lane, two fingerprints that differ in at most four bits agree in four bytes at
-least, and all choices are filed: no link is lost. Those that meet are verified by their
-differing bits. Equal fingerprints are one entry, and of the links in a list only a
-spanning forest leaves the task, so copies are never expanded into pairs. Lists are
-counted first, and one that is too long for a task is dealt into blocks, each pair of
-blocks being a list of its own.
-
-The pipeline's near copies are pairs of a Jaccard similarity of word shingles, which no
-number of bits or bytes guarantees. They are found without fingerprints, by an exact
-prefix filter, and every link is verified by whole sets (keep_one_of_each).
+A fingerprint has eight bytes. Two that differ in at most `bits` bits agree at 8 - bits
+of the eight byte positions at least: the guaranteed tally of shared positional bytes.
+The index has a posting list for each set of one positional byte less (of three, for four
+bits) out of a family that meets every set of positions the tally may consist of, so any
+pair that reaches the tally stands in a common list, under 20 postings a fingerprint
+instead of the 70 of all choices. For each pair met in a list all its shared positional
+bytes are tallied, pairs under the guaranteed tally go, and the rest are verified by
+their differing bits: no link is lost. Equal fingerprints are one entry, and of the links
+in a list only a spanning forest leaves the task, so copies are never expanded into
+pairs. Lists are counted first, and one that is too long for a task is dealt into blocks,
+each pair of blocks being a list of its own.
 """
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,106 +26,112 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import table, written
 from holdfast.llm.components import components
-from holdfast.llm.quality import fresh
 from holdfast.operators.frames import joinable
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER, LOWER)
-
-#: For near copies: shingles of five words and a Jaccard similarity of 0.8. The others are those of an index over sampled choices, which the stage does not use any more: it lost pairs, and took pairs under 0.8 for copies.
-NEAR = {"shingle": 5, "similarity": 0.8, "lanes": 4, "tight": 24, "loose": 62, "share": 3, "choices": 160}
-
-
-def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Another hash for each hash: two rounds of multiplication and shift. Lane 0 is the hash itself."""
-    if lane == 0:
-        return hashes
-    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
-    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(32))
+BYTES = 8
+LIST_CAP = 1 << 14  # entries of a block of a long list
+BROADCAST_ROWS = 1_000_000
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """How many rows have each bit, highest bit of the first lane first. hashes: rows x lanes."""
+    """How many hashes have each bit, highest first."""
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1), axis=1)
-    total = np.zeros(bits.shape[1], np.int64)
+    total = np.zeros(64, np.int64)
     for lo in range(0, len(bits), 255):
         total += np.add.reduce(bits[lo : lo + 255], axis=0, dtype=np.uint8)
     return total
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42, lanes: int = 1, block: int = 1 << 15) -> list[int]:
-    """Bit by bit, whether more than half of the hashes of the word shingles have it; zeros without words. Long texts are tallied in blocks."""
+def fingerprint(text: str | None, shingle: int, seed: int = 42, block: int = 1 << 15) -> int:
+    """Bit by bit, whether more than half of the hashes of the word shingles have it; zero without words. Long texts are tallied in blocks."""
     words = (text or "").encode("utf-8").translate(TO_LOWER).split()
     if not words:
-        return [0] * lanes
+        return 0
     whole, size = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     lasts = ends[min(shingle, len(words)) - 1 :]
-    tally = np.zeros(64 * lanes, np.int64)
+    tally = np.zeros(64, np.int64)
     for lo in range(0, n, block):
         hi = min(n, lo + block)
-        hashes = np.array([size(whole[a:b], seed) for a, b in zip(begins[lo:hi].tolist(), lasts[lo:hi].tolist(), strict=True)], np.uint64)
-        tally += bit_sums(np.stack([mixed(hashes, k) for k in range(lanes)], axis=1))
-    return np.packbits(2 * tally > n).view(">u8").astype(np.uint64).tolist()
-
+        tally += bit_sums(np.array([size(whole[a:b], seed) for a, b in zip(begins[lo:hi].tolist(), lasts[lo:hi].tolist(), strict=True)], np.uint64))
+    return int(np.packbits(2 * tally > n).view(">u8")[0])
 
-def names(lanes: int, prefix: str = "f") -> list[str]:
-    return [f"{prefix}{k}" for k in range(lanes)]
 
-
-def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42, lanes: int = 1) -> DataFrame:
-    """Per row: doc_id, text_hash, and the lanes f0, f1, ... as signed longs. A null text has no words."""
-    columns = names(lanes)
+def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """Per row: doc_id, print (a signed long). A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed, lanes) for t in batch.column("text")], np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(found[:, k]) for k in range(lanes)]], names=["doc_id", "text_hash", *columns])
+            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "print"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
+
 
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return own.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in columns))
+def posted(share: int, positions: int = BYTES) -> list[tuple[int, ...]]:
+    """Sets of share - 1 positions (one at least) such that every set of `share` positions holds one of them.
 
+    Triples for four positions: three groups of positions in a circle, and the triples
+    inside a group or with two in one and one in the next (20 of 56, the fewest known);
+    other sizes are chosen greedily.
+    """
+    width = max(1, share - 1)
+    choices = list(combinations(range(positions), width))
+    if width == 3:
+        inside = lambda c: [sum(p % 3 == g for p in c) for g in range(3)]
+        return [c for c in choices if max(n := inside(c)) == 3 or any(n[g] == 2 and n[(g + 1) % 3] == 1 for g in range(3))]
+    left, out = set(combinations(range(positions), share)), []
+    while left:
+        best = max(choices, key=lambda c: (sum(set(c) <= set(x) for x in left), c))
+        left = {x for x in left if not set(best) <= set(x)}
+        out.append(best)
+    return sorted(out)
+
+
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes fingerprints share."""
+    x = np.atleast_1d(a ^ b)
+    return (x.view(np.uint8).reshape(*x.shape, BYTES) == 0).sum(axis=-1)
 
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
+
+def alike(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs are links: first by the guaranteed tally of shared positional bytes, then by their differing bits."""
+    near = tally(a, b) >= BYTES - bits
+    near[near] = np.bitwise_count((np.atleast_1d(a ^ b))[near]) <= bits
+    return near
 
 
 def forest(entries: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of the links among fingerprints (rows x lanes): what is reached leaves the rest, so a dense group is walked in few steps."""
+    """Edges of a spanning forest of the links among fingerprints: what is reached leaves the rest, so a dense group is walked in few steps."""
     rest = entries
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = differing(rest, x) <= bits
+            near = alike(rest, x, bits)
             if near.any():
                 found, rest = rest[near], rest[~near]
                 yield np.broadcast_to(x, found.shape), found
                 queue.extend(found)
 
 
-def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int, tight: int | None = None, small: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """From (keys, fingerprints), in their order so that retries give the same, edges that join all fingerprints of a key which are linked: all pairs of lists up to `small`, forests of longer ones, one for `tight` bits too. Lists may run over batches; of a list, only the fingerprints are held."""
+def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int, small: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From (keys, fingerprints), in their order so that retries give the same, edges that join all fingerprints of a key which are linked: all pairs of lists up to `small`, forests of longer ones. Lists may run over batches; of a list, only the fingerprints are held."""
     held: list[np.ndarray] = []
     held_key = None
 
-    def long(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield from forest(entries, bits)
-        if tight is not None:
-            yield from forest(entries, tight)
-
     def closed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if 1 < (n := sum(map(len, held))) <= small:
             own = np.concatenate(held)
             i, j = np.triu_indices(n, 1)
-            near = differing(own[i], own[j]) <= bits
+            near = alike(own[i], own[j], bits)
             yield own[i[near]], own[j[near]]
         elif n > small:
-            yield from long(np.concatenate(held))
+            yield from forest(np.concatenate(held), bits)
 
     for keys, prints in batches:
         if not len(keys):
@@ -155,78 +155,51 @@ def links_in_lists(batches: Iterator[tuple[np.ndarray, np.ndarray]], bits: int,
                 at = short[lengths > j]
                 if len(at):
                     a, b = prints[at + i], prints[at + j]
-                    near = differing(a, b) <= bits
+                    near = alike(a, b, bits)
                     if near.any():
                         yield a[near], b[near]
         for k in np.flatnonzero(sizes > small):
-            yield from long(prints[begins[k] : ends[k]])
+            yield from forest(prints[begins[k] : ends[k]], bits)
     yield from closed()
 
 
-def chosen(positions: int, share: int, choices: int | None) -> list[tuple[int, ...]]:
-    """All choices of `share` positions, or a fixed sample of them that treats positions alike."""
-    if choices is None or comb(positions, share) <= choices:
-        return list(combinations(range(positions), share))
-    rng, out, rest = random.Random(positions * share), set(), []
-    while len(out) < choices:
-        if len(rest) < share:
-            rest = rng.sample(range(positions), positions)
-        out.add(tuple(sorted(rest[:share])))
-        rest = rest[share:]
-    return sorted(out)
-
-
-def node(lanes: int, prefix: str = "f"):
-    return F.col(prefix + "0") if lanes == 1 else F.xxhash64(*names(lanes, prefix))
-
-
-def split_lists(filed: DataFrame, entries: list[str], cap: int, n: int, bins: int = 1 << 16) -> DataFrame:
-    """filed with other keys, so that every list has some 2 * cap rows at most: a longer one is dealt into blocks by hash, and its rows go to the list of each pair of blocks that theirs is in. Any two rows of a list still meet.
+def split_lists(filed: DataFrame, cap: int, n: int, bins: int = 1 << 16, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """filed (key, print) with other keys, so that every list has some 2 * cap rows at most: a longer one is dealt into blocks by hash, and its rows go to the list of each pair of blocks that theirs is in. Any two rows of a list still meet.
 
     Rows are counted in bins of keys, n rows over so many bins that few of them share one;
     a bin below the cap has no long list. The counts are combined before the shuffle. The
     keys of a bin above it are all dealt into blocks, which costs only copies. Such bins
-    are fewer than n / cap, and are broadcast; the cap grows with n, so they stay under a
-    million.
+    are fewer than n / cap; they are counted, and broadcast up to `broadcast_rows`, else
+    joined by a shuffle.
     """
-    bins, cap = max(bins, n // 4096), max(cap, n // 1_000_000)
+    bins = max(bins, n // 1024)
     bin_ = F.pmod(F.col("key"), F.lit(bins))
     long = written(filed.groupBy(bin_.alias("_bin")).count().filter(F.col("count") > cap).select("_bin", F.ceil(F.col("count") / cap).cast("int").alias("_blocks")), "long-lists")
-    own = F.pmod(F.xxhash64(F.lit("block"), *entries), F.col("_blocks")).cast("int")
-    dealt = filed.withColumn("_bin", bin_).join(F.broadcast(long), "_bin", "left").withColumn("_own", own)
+    brought = F.broadcast(long) if long.count() <= broadcast_rows else joinable(long)
+    own = F.pmod(F.xxhash64(F.lit("block"), "print"), F.col("_blocks")).cast("int")
+    dealt = filed.withColumn("_bin", bin_).join(brought, "_bin", "left").withColumn("_own", own)
     dealt = dealt.withColumn("_other", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))))
     key = F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")))
-    return dealt.select(key.alias("key"), *entries)
+    return dealt.select(key.alias("key"), "print")
 
 
-def links(prints: DataFrame, lanes: int = 1, bits: int = 4, share: int = 4, choices: int | None = None, tight: int | None = None, cap: int = 1 << 16) -> DataFrame:
-    """Edges u, v, d among the nodes of distinct fingerprints f0, ..., with their differing bits: enough to join all that are linked by chains of at most `bits` differing bits, or `tight` ones, and share a list."""
+def links(prints: DataFrame, bits: int = 4, cap: int = LIST_CAP) -> DataFrame:
+    """Edges u, v among distinct fingerprints (print): enough to join all that are linked by chains of at most `bits` differing bits."""
     keys = []
-    for k, kept in enumerate(chosen(8 * lanes, share, choices)):
-        masks = [sum(0xFF << (8 * (p % 8)) for p in kept if p // 8 == lane) for lane in range(lanes)]
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        keys.append(F.xxhash64(F.lit(k), *[F.col(f"f{lane}").bitwiseAND(F.lit(m).cast("long")) for lane, m in enumerate(signed) if m]))
+    for k, kept in enumerate(posted(BYTES - bits)):
+        mask = sum(0xFF << (8 * p) for p in kept)
+        keys.append(F.xxhash64(F.lit(k), F.col("print").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = prints.repartition(tasks)  # fingerprints are small, but each becomes a row for every choice: AQE would put them into few tasks
-    filed = spread.select(F.explode(F.array(*keys)).alias("key"), *names(lanes))
-    filed = split_lists(filed, names(lanes), cap, prints.count() * len(keys))
-    us, vs = names(lanes, "u"), names(lanes, "v")
+    spread = prints.repartition(tasks)  # fingerprints are small, but each becomes a row for every posting: AQE would put them into few tasks
+    filed = split_lists(spread.select(F.explode(F.array(*keys)).alias("key"), "print"), cap, prints.count() * len(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = ((b.column("key").to_numpy(), np.stack([b.column(c).to_numpy().view(np.uint64) for c in names(lanes)], axis=1)) for b in batches)
-        for u, v in links_in_lists(arrays, bits, tight):
-            columns = [pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for x in (u, v) for k in range(lanes)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(differing(u, v).astype(np.int64))], names=[*us, *vs, "d"])
+        arrays = ((b.column("key").to_numpy(), b.column("print").to_numpy().view(np.uint64)) for b in batches)
+        for u, v in links_in_lists(arrays, bits):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (u, v)], names=["u", "v"])
 
-    found = filed.repartition("key").sortWithinPartitions("key", *names(lanes)).mapInArrow(run, ", ".join(f"{c} long" for c in [*us, *vs, "d"]))
-    return found.select(node(lanes, "u").alias("u"), node(lanes, "v").alias("v"), "d").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "d").distinct()
-
-
-def rooted(prints: DataFrame, lanes: int, bits: int, share: int, choices: int | None) -> DataFrame:
-    """prints with the root of their component in the column root."""
-    nodes = prints.withColumn("own", node(lanes))
-    roots = components(links(prints.select(*names(lanes)).distinct(), lanes, bits, share, choices).select("u", "v"))
-    return nodes.join(roots, nodes["own"] == roots["node"], "left").withColumn("root", F.coalesce("root", "own")).drop("node", "own")
+    found = filed.repartition("key").sortWithinPartitions("key", "print").mapInArrow(run, "u long, v long")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def near_dedup(documents: DataFrame, shingle: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
@@ -235,175 +208,18 @@ def near_dedup(documents: DataFrame, shingle: int = 4, bits: int = 4, seed: int
     documents: doc_id, text; other columns are not looked at. Texts without words, null
     ones too, have the fingerprint zero and are linked like any other. A null doc_id is
     kept, but is no component's id unless all ids of the component are null. Repeated
-    rows each give a row. An empty table gives no rows.
+    rows each give a row. An empty table gives no rows. bits: 7 at most, so that a shared
+    positional byte is guaranteed.
     """
+    if not 0 <= bits < BYTES:
+        raise ValueError("bits must lie between 0 and 7")
     prints = written(fingerprints(documents, shingle, seed), "prints")
-    distinct = prints.groupBy("f0").agg(F.min("doc_id").alias("least"))
-    known = written(rooted(distinct, 1, bits, 8 - bits, None), "roots")
+    distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-prints")
+    roots = components(links(distinct.select("print"), bits)).withColumnRenamed("node", "print")
+    known = written(distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = known.join(joinable(least), "root").select("f0", "component_id")
-    return prints.join(groups, "f0").select("doc_id", F.col("f0").alias("fingerprint"), "component_id")
-
-
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct hashes of the word shingles, in order; of the whole where there are fewer words, none without words."""
-    words = (text or "").encode("utf-8").translate(TO_LOWER).split()
-    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    return np.sort(np.fromiter(own, np.uint64, len(own)).view(np.int64))
-
-
-def overlap(n: int, similarity: float) -> int:
-    """How many of its n shingles a text shares, at least, with any other of the similarity."""
-    return max(1, math.ceil(similarity * n - 1e-9))
-
-
-def spare(n: int) -> int:
-    return max(1, n // 5)
-
-
-def head(n: int, similarity: float) -> int:
-    """In any one order of all shingles, two texts of the similarity share `spare` of the shorter's n among their first so many, as each has no more than n - overlap that the other lacks."""
-    return min(n, n - overlap(n, similarity) + spare(n))
-
-
-def shingle_sets(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Per row: doc_id, text_hash, node (a hash of the set of shingles), n (its size), need (how many of its head another text must share) and head."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
-            nodes = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in grams], np.uint64).view(np.int64)
-            needs = [spare(overlap(len(g), similarity)) for g in grams]
-            heads = pa.array([g[: head(len(g), similarity)] for g in grams], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), pa.array(needs, pa.int64()), heads], names=["doc_id", "text_hash", "node", "need", "head"])
-
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return own.mapInArrow(run, "doc_id long, text_hash long, node long, need long, head array<long>")
-
-
-def grams_of(places: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
-    """node, grams of the documents that stand for the nodes. places: node, first (n, doc_id, text_hash)."""
-    wanted = places.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = own.join(wanted, (own["text_hash"] == wanted["_hash"]) & own["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
-
-    return texts.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
-
-
-def candidate_groups(grams: DataFrame, similarity: float) -> DataFrame:
-    """node, root: components of the texts that share one of their rarest shingles, as all pairs of the similarity do. Those that share none are left out.
-
-    Of n shingles, the n - overlap + 1 with the fewest texts are filed.
-    """
-    n = F.size("grams")
-    rows = grams.select("node", n.alias("n"), F.explode("grams").alias("h"))
-    counts = written(rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "gram-counts")
-    common = rows.join(joinable(counts), "h")
-    kept = F.col("n") - F.greatest(F.lit(1), F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9))) + 1
-    alone = F.col("n") - F.size("of")  # those of no other text are the rarest
-    filed = common.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("of"))
-    filed = written(filed.select("node", F.explode(F.slice("of", F.lit(1), F.greatest(F.lit(0), kept - alone).cast("int"))).alias("x")).select("node", F.col("x.h").alias("h")), "filed")
-    least = filed.groupBy("h").agg(F.min("node").alias("v"))
-    return components(filed.join(joinable(least), "h").select(F.col("node").alias("u"), "v"))
-
-
-def alike(sides: np.ndarray, grams: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of all pairs that have the similarity, on two sides if there are two. Every such pair is looked at unless its texts are joined already; shared shingles are counted over posting lists, which lose what is reached."""
-    n, sizes = len(grams), np.array([len(g) for g in grams])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    ids = np.unique(np.concatenate(grams), return_inverse=True)[1]
-    by_id = np.argsort(ids, kind="stable")
-    terms, holders = ids[by_id], np.repeat(np.arange(n), sizes)[by_id]
-    rest, left, whole = np.ones(n, bool), n, (sides == sides[0]).all()
-    begins = np.searchsorted(terms, np.arange(len(ids) + 1))
-    for first in range(n):
-        if not rest[first]:
-            continue
-        rest[first] = False
-        queue = [first]
-        while queue and rest.any():
-            x = queue.pop()
-            if 2 * rest.sum() < left:
-                left = rest.sum()
-                terms, holders = terms[rest[holders]], holders[rest[holders]]
-                begins = np.searchsorted(terms, np.arange(len(ids) + 1))
-            own = ids[bounds[x] : bounds[x + 1]]
-            lengths = begins[own + 1] - begins[own]
-            at = np.repeat(begins[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            shared = np.bincount(holders[at], minlength=n)
-            near = rest & (shared >= similarity * (sizes + sizes[x] - shared))
-            if not whole:
-                near &= sides != sides[x]
-            found = np.flatnonzero(near)
-            if len(found):
-                rest[found] = False
-                yield np.full(len(found), x), found
-                queue.extend(found.tolist())
-
-
-def verified_links(grams: DataFrame, groups: DataFrame, similarity: float, cap: int = 1024) -> DataFrame:
-    """Edges u, v that join all nodes of a group which have the similarity by chains. A group of more than `cap` is dealt into blocks, 32 at most, and each pair of blocks is a list of its own, so any two of a group meet."""
-    sizes = written(groups.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "group-sizes")
-    blocks = F.ceil(F.col("size") / F.greatest(F.lit(cap), F.ceil(F.col("size") / 32))).cast("int")
-    dealt = groups.join(joinable(sizes.withColumn("blocks", blocks)), "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "own", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    lists = grams.join(dealt, "node").select("key", "own", "node", "grams")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                nodes = np.array([r[1] for r in rows], np.int64)
-                for u, v in alike(np.array([r[0] for r in rows]), [r[2] for r in rows], similarity):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
-
-        held: list[tuple[int, int, np.ndarray]] = []
-        held_key = None
-        for batch in batches:
-            column = batch.column("grams")
-            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-            for k, (key, own, node_) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "own", "node")], strict=True)):
-                if key != held_key:
-                    yield from closed(held)
-                    held, held_key = [], key
-                held.append((own, node_, values[offsets[k] : offsets[k + 1]]))
-        yield from closed(held)
-
-    return lists.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
-
-
-def keep_one_of_each(documents: DataFrame, shingle: int = NEAR["shingle"], similarity: float = NEAR["similarity"]) -> DataFrame:
-    """The document with the least doc_id (null last) of each component, with its columns as they were. Rows equal in doc_id and text are one document, and stay or go together.
-
-    Links are all pairs whose sets of shingles have the Jaccard similarity; texts without
-    words are alike. First the texts that may have a partner at all are found, by the heads
-    of their shingles in order of hash; those are grouped by their rarest shingles, and
-    compared by whole sets within the groups.
-    """
-    hashed = fresh(documents, "_text_hash")
-    sets = written(shingle_sets(documents, shingle, similarity), "sets")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    places = written(sets.groupBy("node", "need").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "places")
-
-    rows = sets.select("node", F.explode("head").alias("h"))
-    shared = written(rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("h"), "shared")
-    found = rows.join(joinable(shared), "h").groupBy("node").agg(F.count("*").alias("found"))
-    paired = places.join(found, "node").filter(F.col("found") >= F.col("need") * F.col("copies")).select("node", "first")
-
-    grams = written(grams_of(paired, documents, shingle), "grams")
-    groups = written(candidate_groups(grams, similarity), "groups")
-    roots = components(verified_links(grams, groups, similarity))
-
-    final = places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = final.groupBy("root").agg(F.min("first").alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_hash").alias("_first_hash"))
-    own = documents.withColumn(hashed, F.xxhash64("text"))
-    return own.join(first, (own[hashed] == first["_first_hash"]) & own["doc_id"].cast("long").eqNullSafe(first["_first_id"]), "left_semi").drop(hashed)
+    groups = known.join(joinable(least), "root").select("print", "component_id")
+    return prints.join(groups, "print").select("doc_id", F.col("print").alias("fingerprint"), "component_id")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from holdfast.llm import components, decontaminate, line_dedup, simhash
+from holdfast.llm import components, decontaminate, line_dedup, near_copies, simhash
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -68,9 +68,29 @@ def test_fingerprints():
     rng = random.Random(5)
     for text in [None, "", " \n", "One", "one two three", "É É É É É", "a b c d", prose(rng, 700), "x" * 9000, "\x1f a\x0bb"]:
         for shingle in (4, 5):
-            assert simhash.fingerprint(text, shingle) == [bits_of(text, shingle)]
-            assert simhash.fingerprint(text, shingle, block=100) == [bits_of(text, shingle)]
-    assert simhash.fingerprint(prose(rng, 50), 5, 42, 4)[1:] != [0, 0, 0]
+            assert simhash.fingerprint(text, shingle) == bits_of(text, shingle)
+            assert simhash.fingerprint(text, shingle, block=100) == bits_of(text, shingle)
+
+
+def test_postings_meet_every_tally():
+    """Any set of positions that two linked fingerprints may share holds a posted set, so they meet in a list; by trying all."""
+    for bits in range(8):
+        posted = simhash.posted(8 - bits)
+        assert all(any(set(p) <= set(x) for p in posted) for x in itertools.combinations(range(8), 8 - bits)), bits
+    assert len(simhash.posted(4)) == 20 and {len(p) for p in simhash.posted(4)} == {3}
+
+
+def test_the_tally_comes_before_the_bits():
+    a = np.array([0, 0, 0, 0], np.uint64)
+    b = np.array([0x0101010100000000, 0x0101010101000000, 0xFF, 0x0F00000000000000], np.uint64)
+    assert simhash.tally(a, b).tolist() == [4, 3, 7, 7]
+    assert simhash.alike(a, b, 4).tolist() == [True, False, False, True]
+    rng = random.Random(3)
+    for _ in range(2000):  # no pair within the bits is under the tally
+        x, y = rng.getrandbits(64), 0
+        for i in rng.sample(range(64), rng.randint(0, 4)):
+            y ^= 1 << i
+        assert simhash.alike(np.array([x], np.uint64), np.array([x ^ y], np.uint64), 4).all()
 
 
 def groups_of(values, near):
@@ -88,8 +108,8 @@ def groups_of(values, near):
     return [find(i) for i in range(len(values))]
 
 
-@pytest.mark.parametrize("seed,cap", [(0, 1 << 16), (1, 4), (2, 2)])
-def test_links_lose_nothing(spark, seed, cap):
+@pytest.mark.parametrize("seed,cap,bits", [(0, 1 << 16, 4), (1, 4, 4), (2, 2, 4), (3, 64, 6), (4, 64, 2)])
+def test_links_lose_nothing(spark, seed, cap, bits):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(12)]
     values = [0]
@@ -100,10 +120,10 @@ def test_links_lose_nothing(spark, seed, cap):
                 v ^= 1 << b
             values.append(v)
     values = sorted(set(values))
-    want = groups_of(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    want = groups_of(values, lambda a, b: (a ^ b).bit_count() <= bits)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(s,) for s in signed], "f0 long").repartition(3)
-    roots = {r.node: r.root for r in components.components(simhash.links(df, cap=cap).select("u", "v")).collect()}
+    df = spark.createDataFrame([(s,) for s in signed], "print long").repartition(3)
+    roots = {r.node: r.root for r in components.components(simhash.links(df, bits, cap)).collect()}
     roots = {s: roots.get(s, s) for s in signed}
     got: dict = {}
     for s, w in zip(signed, want, strict=True):
@@ -112,19 +132,20 @@ def test_links_lose_nothing(spark, seed, cap):
 
 
 def test_long_lists_are_split(spark):
-    df = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, 5)], "key long, f0 long")
-    got = [r["count"] for r in simhash.split_lists(df, ["f0"], 100, 1001).groupBy("key").count().collect()]
-    assert max(got) < 300 and len(got) == 1 + 55 and sum(got) == 1 + 1000 * 10
+    df = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, 5)], "key long, print long")
+    for broadcast_rows in (10, 0):
+        got = [r["count"] for r in simhash.split_lists(df, 100, 1001, broadcast_rows=broadcast_rows).groupBy("key").count().collect()]
+        assert max(got) < 300 and len(got) == 1 + 55 and sum(got) == 1 + 1000 * 10
 
 
 def test_lists_over_batches():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 30, 500))
-    prints = rng.integers(0, 64, (500, 1)).astype(np.uint64)
+    prints = rng.integers(0, 64, 500).astype(np.uint64)
 
     def joined(size):
         batches = [(keys[i : i + size], prints[i : i + size]) for i in range(0, 500, size)]
-        return [(int(a[0]), int(b[0])) for u, v in simhash.links_in_lists(iter(batches), 1) for a, b in zip(u, v, strict=True)]
+        return [(int(a), int(b)) for u, v in simhash.links_in_lists(iter(batches), 1) for a, b in zip(u, v, strict=True)]
 
     whole = joined(500)
     labels = lambda edges: groups_of(range(64), lambda a, b: (a, b) in edges or (b, a) in edges)
@@ -143,7 +164,7 @@ def test_near_dedup(spark):
                 words[i] = rng.choice(WORDS)
             docs.append(" ".join(words))
     rows = [(i, t) for i, t in enumerate(docs)] + [(900, None), (901, ""), (None, docs[0]), (902, docs[0]), (902, docs[0])]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, f0 string").repartition(4)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, print string").repartition(4)
     prints = [bits_of(t, 4) for _, t in rows]
     want = groups_of(prints, lambda a, b: (a ^ b).bit_count() <= 4)
     least = {g: min((rows[i][0] for i in range(len(rows)) if want[i] == g and rows[i][0] is not None), default=None) for g in set(want)}
@@ -152,30 +173,6 @@ def test_near_dedup(spark):
     assert simhash.near_dedup(df.limit(0)).count() == 0
 
 
-def jaccard(a, b, n=5):
-    grams = lambda t: {tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)}
-    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
-
-
-def test_one_of_each_near_copy_stays(spark):
-    """Recall of the sampled index at a similarity of 0.8 and more; unlike documents all stay."""
-    rng = random.Random(7)
-    rows, near = [], []
-    for k in range(250):
-        t = prose(rng, 120)
-        rows.append((2 * k, t))
-        words = t.split()
-        for i in rng.sample(range(len(words)), rng.choice([0, 1, 1, 2])):
-            words[i] = rng.choice(WORDS)
-        if jaccard(t, " ".join(words)) >= 0.8:
-            near.append(2 * k + 1)
-            rows.append((2 * k + 1, " ".join(words)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.keep_one_of_each(df).collect()}
-    assert {d for d, _ in rows if d % 2 == 0} <= kept
-    assert len(kept & set(near)) <= 0.1 * len(near)
-
-
 def fresh_words(rng, n):
     return [f"w{rng.getrandbits(40)}" for _ in range(n)]
 
@@ -194,7 +191,7 @@ def changed(rng, words, n):
 def kept_of(spark, texts):
     """Which of the texts stay, and which should by plain Jaccard over all pairs."""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    return {r.doc_id for r in simhash.keep_one_of_each(df).collect()}, set(groups_of([grams_of(t.split()) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b)))
+    return {r.doc_id for r in near_copies.keep_one_of_each(df).collect()}, set(groups_of([grams_of(t.split()) for t in texts], lambda a, b: len(a & b) >= 0.8 * len(a | b)))
 
 
 def test_near_copies_within_a_large_loose_group(spark):
@@ -216,7 +213,7 @@ def test_blocks_of_a_group_lose_no_link(spark):
     want = groups_of(range(60), alike)
     df = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(grams)], "node long, grams array<long>")
     for cap in (1024, 7, 1):
-        edges = [(r.u, r.v) for r in simhash.verified_links(df, df.selectExpr("node", "0L as root"), 0.8, cap).collect()]
+        edges = [(r.u, r.v) for r in near_copies.verified_links(df, df.selectExpr("node", "0L as root"), 0.8, cap).collect()]
         assert all(alike(u, v) for u, v in edges)
         assert groups_of(range(60), lambda a, b: (a, b) in edges or (b, a) in edges) == want and 1 < len(set(want)) < 60
 
@@ -232,7 +229,7 @@ def test_recall_by_band_of_similarity(spark):
             bands.setdefault(int(50 * j + 1e-9) / 50, []).append(len(texts) + 1)
             texts += [" ".join(words), " ".join(other)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id for r in simhash.keep_one_of_each(df).collect()}
+    got = {r.doc_id for r in near_copies.keep_one_of_each(df).collect()}
     found = {b: 1 - len(got & set(ids)) / len(ids) for b, ids in sorted(bands.items())}
     assert found == dict.fromkeys(found, 1.0) and len(bands[0.8]) >= 20 and got == set(range(0, 600, 2))
 

@@ -285,39 +285,40 @@ def best_overlaps(docs, items):
         for i, it in items:
             b = tokens(it)
             width = min(20, len(b))
-            if len(b) < 10:
+            if not b:
                 continue
+            least = len(b) if len(b) < 10 else np.ceil(0.8 * width - 1e-9)
             for shift in range(-len(b) + 1, len(a)):
                 lo, hi = max(0, -shift), min(len(b), len(a) - shift)
                 same = [a[shift + j] == b[j] for j in range(lo, hi)]
                 if len(same) >= width:
                     m = max(sum(same[s : s + width]) for s in range(len(same) - width + 1))
-                    if m >= np.ceil(0.8 * width - 1e-9):
+                    if m >= least:
                         out[d, i] = max(out.get((d, i), 0), m)
     return out
 
 
-@pytest.mark.parametrize("block_seeds", [1_000_000, 60])
-def test_overlaps(spark, block_seeds):
+@pytest.mark.parametrize("most_seeds", [1_000_000, 60])
+def test_overlaps(spark, most_seeds):
     rng = random.Random(8)
-    items = [(i, prose(rng, n)) for i, n in enumerate([45, 30, 20, 14, 10, 9, 0])] + [(50, None)]
+    items = [(i, prose(rng, n)) for i, n in enumerate([45, 30, 20, 14, 10, 9, 4, 0])] + [(50, None), (51, "zyzzyva")]
     docs = []
     for k in range(40):
         words = prose(rng, rng.randint(0, 60)).split()
         if k % 2:
-            own = items[k // 2 % 6][1].split()
+            own = items[k // 2 % 7][1].split()
             own = own[rng.randint(0, len(own) // 3) :]
             for i in rng.sample(range(len(own)), rng.randint(0, max(1, len(own) // 6))):
                 own[i] = "zz"
             at = rng.randint(0, len(words))
             words[at:at] = own
         docs.append((k, ", ".join(words).upper() if k % 3 else " ".join(words)))
-    docs += [(100, None), (101, ""), (102, items[0][1]), (103, "a b")]
+    docs += [(100, None), (101, ""), (102, items[0][1]), (103, "a b"), (104, "the Zyzzyva, " + items[6][1]), (104, "the Zyzzyva, " + items[6][1])]
     df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, item_id int").repartition(3)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, h string")
-    got = {(r.doc_id, r.item_id): r.best for r in decontaminate.overlaps(df, bench, block_seeds=block_seeds).collect()}
+    got = {(r.doc_id, r.item_id): r.best for r in decontaminate.overlaps(df, bench, most_seeds=most_seeds).collect()}
     want = best_overlaps(docs, items)
-    assert got == want and len(want) > 10
+    assert got == want and len(want) > 10 and {(104, 6), (104, 51)} <= set(want)
     kept = {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0 and decontaminate.overlaps(df.limit(0), bench).count() == 0

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,21 +280,68 @@ def test_scan(spark, corpus, field):
 
 # Language
 
-def test_bucket_counts_in_blocks():
-    text = "Der schnelle Fuchs, élan vital! " * 50
-    assert (language.bucket_counts(text) == language.bucket_counts(text, block=7)).all()
-    assert language.bucket_counts("1 2 !") is None
-
-
-def test_naive_bayes_by_the_definition(spark):
+def buckets_of(text):
+    """Counts by bucket from the definition; None without letters."""
+    lower = (text or "").lower()
+    if not any(c.isalpha() for c in lower):
+        return None
+    x = [32, *[ord(c) if c.isalpha() else 32 for c in lower], 32]
+    out = np.zeros(language.BUCKETS, int)
+    for n, factors, plus in ((2, (0x9E3779B1, 0x85EBCA77), 0), (3, (0xC2B2AE3D, 0x27D4EB2F, 0x165667B1), 0x9E3779B9)):
+        for i in range(len(x) - n + 1):
+            h = 0
+            for f, c in zip(factors, x[i:], strict=False):
+                h ^= f * c & 0xFFFFFFFF
+            h = h + plus & 0xFFFFFFFF
+            out[((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 18] += 1
+    return out
+
+
+def test_grams_of_a_batch():
+    texts = ["Der schnelle Fuchs, élan vital! " * 20, "", "1 2", "a", "Ab Ab", "x" * 300, "İ ß"]
+    batch = language.Batch(texts)
+    assert batch.lettered.tolist() == [buckets_of(t) is not None for t in texts]
+    for block in (1, 7, 100, 1 << 16):
+        got = np.zeros((len(texts), language.BUCKETS), int)
+        for own, buckets in batch.grams(block):
+            np.add.at(got, (own, buckets), 1)
+        for t, row in zip(texts, got, strict=True):
+            assert buckets_of(t) is None or (row == buckets_of(t)).all(), (t, block)
+
+
+def test_naive_bayes_by_the_definition(spark, monkeypatch):
     rows = [(i, t, l) for i, (t, l) in enumerate([("the cat", "en"), ("le chat", "fr"), ("a dog is here", "en"), ("un chien ici", "fr"), (None, "en"), ("x", None), ("123", "en")])]
-    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learn(df)
     assert learned.languages == ["en", "fr"]
-    counts = {l: sum(language.bucket_counts(t) for _, t, k in rows if k == l and t and language.bucket_counts(t) is not None) + 0.5 for l in ("en", "fr")}
-    own = language.bucket_counts("the dog")
-    value = np.array([math.log(0.5) + (own * np.log(counts[l] / counts[l].sum())).sum() for l in ("en", "fr")])
-    p = np.exp(value - value.max()) / np.exp(value - value.max()).sum()
-    assert learned.predict("the dog") == (learned.languages[p.argmax()], pytest.approx(p.max()))
+    counts = {l: sum(buckets_of(t) for _, t, k in rows if k == l and buckets_of(t) is not None) + 0.5 for l in ("en", "fr")}
+    texts, want = ["the dog", "", "chat", "42"], []
+    for t in texts:
+        if (own := buckets_of(t)) is None:
+            want.append(("und", 0.0))
+            continue
+        value = np.array([math.log(0.5) + (own * np.log(counts[l] / counts[l].sum())).sum() for l in ("en", "fr")])
+        p = np.exp(value - value.max()) / np.exp(value - value.max()).sum()
+        want.append((learned.languages[p.argmax()], pytest.approx(p.max())))
+    names, scores = learned.predict(texts)
+    assert list(zip(names, scores, strict=True)) == want
+    monkeypatch.setattr(language, "AT_ONCE", 8)
+    assert [x for b in language.batched(iter([*texts, None])) for x in learned.predict(b)[0]] == [*names, "und"]
+    with pytest.raises(ValueError, match="2 languages"):
+        language.learn(df, most_languages=1)
+
+
+def test_counts_are_passed_on(monkeypatch):
+    monkeypatch.setattr(language, "HELD_LANGUAGES", 3)
+    texts, langs = [f"text {chr(97 + i % 26)}" for i in range(60)], [f"l{i % 10}" for i in range(60)]
+    got = Counter()
+    for b in language.counted(iter([pa.RecordBatch.from_pydict({"text": texts, "lang": langs})])):
+        for l, k, n in zip(*[b.column(c).to_pylist() for c in ("lang", "bucket", "n")], strict=True):
+            got[l, k] += n
+    want = Counter({(f"l{i}", -1): 6 for i in range(10)})
+    for t, l in zip(texts, langs, strict=True):
+        want.update({(l, int(k)): int(n) for k, n in enumerate(buckets_of(t)) if n})
+    assert got == want
 
 
 def test_held_out_accuracy(spark):

@@ -1,12 +1,16 @@
 """URL filters: domain and path rules first, then the log-likelihood ratio of two character language models.
 
-Both models are interpolated Markov models of up to two characters of context over 32
-classes of characters: where a context was not seen, or seldom, the estimate leans on the
-shorter one (Witten-Bell weights). So a model has 32 ** 3 values whatever the corpus, and
-the log ratio of the two fits one array. A URL's score is the mean log ratio over its
-characters; the bar that it must reach is set on labelled URLs that were kept from the
-counts. All of it is built-in expressions; the array reaches the scoring as a scalar
-subquery, so scoring moves no rows.
+Both models are variable-order Markov models over all characters: a character's
+probability after up to CONTEXT characters is interpolated with that after one less
+(Witten-Bell weights), down to the uniform one, and where a context was never seen the
+next shorter one speaks. Seen strings are closed under dropping characters from the
+front, so a URL's log-likelihood is a sum of one number for each string of up to
+CONTEXT + 1 characters in it that the model has seen: what the string's last character
+gains over the shorter context, less the escape of its own context that this undoes, plus
+the escape from it as a context. Scoring is so a join of strings with a table of numbers
+and a sum; the table is broadcast up to a checked size, beyond it joined by a shuffle. A
+URL's score is the mean log ratio over its characters; the bar that it must reach is set
+on labelled URLs that were kept from the counts. All of it is built-in expressions.
 """
 
 from __future__ import annotations
@@ -17,9 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import lower_ascii, table, written
+from holdfast.operators.frames import joinable
 
-CLASSES = 32
-CODES = CLASSES**3
+CONTEXT = 4
+BROADCAST_ROWS = 1_000_000
+UNIFORM = 1 / 0x110000  # of a character that was never seen; the same for both models
+START, END = "\x02", "\x03"
 
 
 @dataclass(frozen=True)
@@ -58,58 +65,61 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return (name, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def class_of(c: Column) -> Column:
-    """Letters 1 to 26, digits 27, . / - 28 to 30, anything else 31; 0 stands before the start and at the end."""
-    code = F.ascii(c)
-    return F.when(c.between("a", "z"), code - 96).when(c.between("0", "9"), 27).when(c == ".", 28).when(c == "/", 29).when(c == "-", 30).otherwise(31)
-
-
-def codes_of(url: Column) -> Column:
-    """For each character, and the end, the code of its class with the two before it; empty where there is no ://."""
+def chars_of(url: Column) -> Column:
+    """The start, the lower-cased characters after ://, and the end; empty where nothing follows a ://."""
     rest = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1))
-    classes = F.transform(F.array_remove(F.split(rest, ""), ""), class_of)
-    with_end = F.when(F.length(rest) > 0, F.array_append(classes, F.lit(0))).otherwise(F.array().cast("array<int>"))
-    back = lambda cs, at: F.coalesce(F.get(cs, at), F.lit(0))
-    windows = lambda cs: F.transform(cs, lambda c, i: back(cs, i - 2) * CLASSES**2 + back(cs, i - 1) * CLASSES + c)
-    return F.element_at(F.transform(F.array(with_end), windows), 1)
-
-
-def _estimate(counts: DataFrame, c: str, into: str) -> DataFrame:
-    """Witten-Bell estimates of the last class after two, one and no classes, for a column of counts over all codes."""
-    code = F.col("code")
-    by = lambda key: Window.partitionBy(key)
-    two, pair, one, last = (code / CLASSES).cast("int"), code % CLASSES**2, (code % CLASSES**2 / CLASSES).cast("int"), code % CLASSES
-    found = counts.withColumns({"c1": F.sum(c).over(by(pair)), "c0": F.sum(c).over(by(last)), "n2": F.sum(c).over(by(two)), "t2": F.sum((F.col(c) > 0).cast("int")).over(by(two))})
-    found = found.withColumns({"n1": F.sum(c).over(by(one)), "t1": F.sum((F.col("c1") > 0).cast("int")).over(by(one)) / CLASSES})
-    found = found.withColumns({"n0": F.sum(c).over(by(F.lit(0))), "t0": F.sum((F.col("c0") > 0).cast("int")).over(by(F.lit(0))) / CLASSES**2})
-    mixed = lambda c, n, t, below: F.when(n > 0, (c + t * below) / (n + t)).otherwise(below)
-    p = F.lit(1.0 / CLASSES)
-    for k in ("0", "1"):
-        p = mixed(F.col("c" + k), F.col("n" + k), F.col("t" + k), p)
-    p = mixed(F.col(c), F.col("n2"), F.col("t2"), p)
-    return found.withColumn(into, F.log(p)).drop("c0", "c1", "n0", "n1", "n2", "t0", "t1", "t2")
-
+    chars = F.concat(F.array(F.lit(START)), F.array_remove(F.split(rest, ""), ""), F.array(F.lit(END)))
+    return F.when(F.length(rest) > 0, chars).otherwise(F.array().cast("array<string>"))
 
-def fit_ratio(labelled: DataFrame) -> DataFrame:
-    """One row with the array of log ratios by code. labelled: url, accepted."""
-    grams = labelled.select("accepted", F.explode(codes_of(F.col("url"))).alias("code"))
-    seen = grams.groupBy("code").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
-    codes = labelled.sparkSession.range(CODES).select(F.col("id").cast("int").alias("code"))
-    dense = codes.join(seen, "code", "left").na.fill(0, ["a", "r"])
-    dense = _estimate(_estimate(dense, "a", "log_a"), "r", "log_r")
-    rows = dense.agg(F.sort_array(F.collect_list(F.struct("code", (F.col("log_a") - F.col("log_r")).alias("v")))).alias("rows"))  # CODES rows, always
-    return rows.select(F.transform("rows", lambda x: x["v"]).alias("ratio"))
 
+def strings_of(chars: Column) -> Column:
+    """For each character but the start, the strings of one up to CONTEXT + 1 characters that end with it (none reaches over the start); and the start alone."""
+    back = lambda i, k: F.concat(*[F.get(chars, i - j) for j in range(k, -1, -1)])
+    ending = lambda c, i: F.when(i == 0, F.array(c)).otherwise(F.array_compact(F.array(*[F.when(i >= k, back(i, k)) for k in range(CONTEXT + 1)])))
+    return F.flatten(F.transform(chars, ending))
 
-def with_score(df: DataFrame, ratio: DataFrame) -> DataFrame:
-    """df, with url, and the mean log ratio over its characters as score; null where there are none.
 
-    The array is named in a projection of its own, as a subquery may not stand inside a
-    higher-order function; the optimizer merges the two, so no row carries it.
-    """
-    codes = codes_of(F.col("url"))
-    total = lambda cs: F.when(F.size(cs) > 0, F.aggregate(cs, F.lit(0.0), lambda acc, c: acc + F.get(F.col("_ratio"), c)) / F.size(cs))
-    return df.withColumn("_ratio", ratio.scalar()).withColumn("score", F.element_at(F.transform(F.array(codes), total), 1)).drop("_ratio")
+def fit_ratio(labelled: DataFrame) -> DataFrame:
+    """Per string: s, and its part v of a log ratio; the row of the empty string counts for every character. labelled: url, accepted."""
+    sides = ("a", "r")
+    grams = labelled.select("accepted", chars_of(F.col("url")).alias("chars")).select("accepted", F.explode(strings_of(F.col("chars"))).alias("s"))
+    counts = grams.groupBy("s").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+    counts = written(counts, "url-strings")
+    foretold = counts.filter(F.col("s") != START)
+    before = F.substring("s", F.lit(1), F.length("s") - 1).alias("s")
+    contexts = foretold.select(before, *sides).groupBy("s").agg(*[f(k).alias(n + k) for k in sides for n, f in (("n", F.sum), ("t", lambda k: F.count_if(F.col(k) > 0)))])
+    escape = lambda k: F.when(F.col("n" + k) > 0, F.col("t" + k) / (F.col("n" + k) + F.col("t" + k)))
+    contexts = written(contexts.select("s", *[c for k in sides for c in ((F.col("n" + k) + F.col("t" + k)).alias("m" + k), escape(k).alias("e" + k))]), "url-contexts")
+
+    own = contexts.withColumnsRenamed({"s": "of"} | {c + k: "o" + c + k for c in "me" for k in sides})
+    shares = foretold.withColumn("of", F.substring("s", F.lit(1), F.length("s") - 1)).join(own, "of")
+    shares = shares.select("s", *[c for k in sides for c in (F.when(F.col(k) > 0, F.col(k) / F.col("om" + k)).alias("f" + k), F.col("oe" + k).alias("b" + k))])
+
+    tails = F.transform(F.sequence(F.lit(1), F.length("s")), lambda n: F.struct(n.alias("n"), F.substring("whole", F.length("whole") - n + 1, n).alias("s")))
+    parts = foretold.select(F.col("s").alias("whole"), "s").select("whole", F.explode(tails).alias("x")).select("whole", "x.n", "x.s").join(shares, "s")
+    folded = parts.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("n", *[c + k for k in sides for c in "fb"]))).alias("xs"))  # CONTEXT + 1 at most
+
+    def gain(k: str) -> Column:
+        """Log of the last character's probability against that after one character less, and the escape of the string's own context undone; null if not seen."""
+        step = lambda p, x: F.when(x["f" + k].isNull(), p).otherwise(x["f" + k] + x["b" + k] * p)
+        low = F.aggregate(F.slice("xs", F.lit(1), F.size("xs") - 1), F.lit(UNIFORM), step)
+        last = F.element_at("xs", -1)
+        return F.log(last["f" + k] + last["b" + k] * low) - F.log(low) - F.log(last["b" + k])
+
+    gains = folded.select(F.col("whole").alias("s"), *[gain(k).alias("g" + k) for k in sides])
+    both = gains.join(contexts.select("s", "ea", "er"), "s", "full")
+    value = lambda k: F.coalesce(F.col("g" + k), F.lit(0.0)) + F.coalesce(F.log("e" + k), F.lit(0.0))
+    return both.select("s", (value("a") - value("r")).alias("v"))
+
+
+def scores(urls: DataFrame, ratio: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Per distinct url: url, and the mean log ratio over its characters as score; those without characters are left out."""
+    brought = F.broadcast(ratio) if ratio.count() <= broadcast_rows else joinable(ratio)
+    chars = urls.select("url").distinct().withColumn("chars", chars_of(F.col("url")))
+    strings = chars.select("url", (F.size("chars") - 1).alias("n"), F.explode(strings_of(F.col("chars"))).alias("s"))
+    sums = strings.join(brought, "s", "left").groupBy("url").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"), F.max("n").alias("n"))
+    each = ratio.filter("s = ''").agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))
+    return sums.select("url", (F.col("v") / F.col("n") + each.scalar()).alias("score"))
 
 
 def fit_bar(held: DataFrame, step: float = 0.005, reach: int = 4000) -> DataFrame:
@@ -137,12 +147,13 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], labelled: DataFrame |
     judged = judged.withColumns({"rule": name, "decided": decided})
     if labelled is None:
         labelled = judged.filter("decided is not null").select("url", (F.col("decided") == "allow").alias("accepted"))
+    labelled = labelled.select("url", "accepted").filter("url is not null and accepted is not null")
     held = F.crc32("url") % 5 == 0
     ratio = written(fit_ratio(labelled.filter(~held)), "url-ratio")
-    bar = written(fit_bar(with_score(labelled.filter(held), ratio).select("score", "accepted")), "url-bar")
-    scored = with_score(judged, ratio)
+    scored = written(scores(judged.select("url").unionByName(labelled.filter(held).select("url")), ratio), "url-scores")
+    bar = written(fit_bar(labelled.filter(held).join(joinable(scored), "url").select("score", "accepted")), "url-bar")
     own = F.when(F.col("score") < bar.scalar(), "block").otherwise("allow")
-    return scored.select("page_id", "url", "host", "path", "rule", "score", F.coalesce("decided", own).alias("verdict"))
+    return judged.join(joinable(scored), "url", "left").select("page_id", "url", "host", "path", "rule", "score", F.coalesce("decided", own).alias("verdict"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Parts that a reaction key leaves out, the levels of a label, the letters that an X does not stand for.
 SPECTATORS = ("O", "[H+]")
 LABEL_LEVELS = 4
+STANDARD_LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
 
 def sha256_short(x: Column) -> Column:
@@ -76,17 +78,18 @@ def padded_levels(x: Column, levels: int = LABEL_LEVELS) -> Column:
     return F.slice(F.concat(F.split(x, r"\."), F.array_repeat(F.lit("-"), levels)), 1, levels)
 
 
-def label_token(x: Column) -> Column:
-    """Four levels; a last level that is not a number counts as missing."""
-    clean = F.regexp_replace(F.trim(x), r"^[.\s]+|[.\s]+$", "")
-    levels = padded_levels(clean)
-    last = F.when(F.get(levels, F.lit(3)).rlike(r"^\d+$"), F.get(levels, F.lit(3))).otherwise("-")
-    return F.when(F.length(clean) > 0, F.array_join(F.concat(F.slice(levels, 1, 3), F.array(last)), "."))
+def label_token(x: Column, levels: int = LABEL_LEVELS) -> Column:
+    """Dotted levels made whole: blank ones go, each keeps its ASCII letters, digits and -, or becomes -; a fourth that is not a number becomes -, missing ones are -. Null without a level."""
+    trimmed = F.transform(F.split(x, r"\."), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    own = F.slice(F.filter(trimmed, lambda p: p != ""), 1, levels)
+    clean = F.transform(own, lambda p: F.coalesce(F.nullif(F.regexp_replace(p, "[^A-Za-z0-9-]", ""), F.lit("")), F.lit("-")))
+    checked = F.transform(clean, lambda p, i: F.when((i == 3) & ~p.rlike(r"^\d+$"), "-").otherwise(p))
+    return F.when(F.size(own) > 0, F.array_join(F.slice(F.concat(checked, F.array_repeat(F.lit("-"), levels)), 1, levels), "."))
 
 
 def label_collection(x: Column) -> Column:
     """Labels found in free text, made whole, in order of first appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"(\d+(?:\.(?:\d+|-)){1,3})"), F.lit(1)), label_token))
+    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"(\d+(?:\.(?:\d+|-)){1,3})"), F.lit(1)), lambda t: label_token(t)))
 
 
 def clean_label(x: Column) -> Column:
@@ -95,21 +98,19 @@ def clean_label(x: Column) -> Column:
     return F.when(F.lower(t) == "nan", "").otherwise(t)
 
 
-def equation_side(side: Column) -> Column:
-    """'2 A + B' as (coef, id) structs; the coefficient is 1 where none stands."""
-    one = lambda p: F.struct(
-        F.coalesce(F.nullif(F.regexp_extract(F.trim(p), r"^(\d+)\s+", 1), F.lit("")).cast("int"), F.lit(1)).alias("coef"),
-        F.regexp_replace(F.trim(p), r"^\d+\s+", "").alias("id"),
-    )
-    return F.transform(F.filter(F.split(side, r"\+"), lambda p: F.trim(p) != ""), one)
+def parse_equation(x: Column, pattern: str) -> Column:
+    """left and right, arrays of (coef, id), and direction, <=> or =>, of two sides with ' <=> ', ' => ' or ' = ' between.
 
-
-def parse_equation(x: Column) -> Column:
-    """left, right and direction of an equation with <=>, => or =."""
-    sign = F.regexp_extract(x, r"(<=>|=>|<=|=)", 1)
-    sides_ = F.split(x, r"<=>|=>|<=|=")
-    direction = F.when(sign == "<=>", "both").when(sign == "=>", "forward").when(sign == "<=", "backward").when(sign == "=", "both")
-    return F.struct(equation_side(F.get(sides_, F.lit(0))).alias("left"), equation_side(F.get(sides_, F.lit(1))).alias("right"), direction.alias("direction"))
+    Terms stand between ' + ', so an id may hold a +. An id is what the pattern (without
+    groups) finds first in a term; the coefficient is the text before it, 1 if blank. Null
+    where there are not two sides, or a term has no id.
+    """
+    sides_ = F.split(F.regexp_replace(x, " <=> | => ", " = "), " = ")
+    term = lambda t: F.struct(F.coalesce(F.nullif(F.trim(F.regexp_extract(t, f"(.*?){pattern}", 1)), F.lit("")), F.lit("1")).alias("coef"), F.nullif(F.regexp_extract(t, pattern, 0), F.lit("")).alias("id"))
+    side = lambda k: F.transform(F.split(F.get(sides_, F.lit(k)), r" \+ "), term)
+    found = F.struct(side(0).alias("left"), side(1).alias("right"), F.when(F.contains(x, F.lit("<=>")), "<=>").otherwise("=>").alias("direction"))
+    whole = (F.size(sides_) == 2) & ~F.exists(F.concat(side(0), side(1)), lambda t: t["id"].isNull())
+    return F.when(whole, found)
 
 
 def mutate(sequence: Column, edits: Column) -> Column:
@@ -151,8 +152,8 @@ def source_suffix(x: Column) -> Column:
 
 
 def hash_seed(x: Column) -> Column:
-    """A seed below 2**60 from the head of a SHA-256."""
-    return F.conv(F.substring(F.sha2(x, 256), 1, 15), 16, 10).cast("long")
+    """The first eight bytes of the SHA-256 as an unsigned number, a decimal(20,0)."""
+    return F.conv(F.substring(F.sha2(x, 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
 def sorted_strings(x: Column) -> Column:
@@ -160,7 +161,7 @@ def sorted_strings(x: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.filter(F.transform(x, lambda v: F.trim(v)), lambda v: v != ""))), F.array().cast("array<string>"))
 
 
-def wildcard_equal(a: Column, b: Column, standard: str = "ACDEFGHIKLMNPQRSTVWY") -> Column:
+def wildcard_equal(a: Column, b: Column, standard: str = STANDARD_LETTERS) -> Column:
     """Equal length and equal letters, an X in b standing for any letter that is not standard."""
     one = lambda x, y: F.coalesce((x == y) | ((y == "X") & (F.instr(F.lit(standard), x) == 0)), F.lit(False))
     return (F.length(a) == F.length(b)) & F.forall(F.zip_with(F.split(a, ""), F.split(b, ""), one), lambda v: v)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.frames import first_per_key, joinable
+from holdfast.operators.ordered import running_sums
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,12 +31,11 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def evict_oldest(entries: DataFrame, budget: int, protected: Column) -> DataFrame:
-    """Entries (id, size, mtime) to remove, oldest first, until the total is within the budget; protected ones stay but count."""
+    """Entries (id, size, mtime) to remove, oldest first, until the total is within the budget; protected ones stay but count. The running sum is dealt over ranges of (mtime, id)."""
     total = entries.agg(F.sum("size").alias("_total"))
-    order = Window.partitionBy(F.lit(0)).orderBy("mtime", "id").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum(F.when(protected, 0).otherwise(F.col("size"))).over(order), F.lit(0))
-    marked = entries.withColumns({"_gone": gone, "_protected": protected})
-    return marked.crossJoin(F.broadcast(total)).filter(~F.col("_protected") & (F.col("_gone") < F.col("_total") - budget)).drop("_gone", "_total", "_protected")  # one row
+    marked = entries.withColumns({"_protected": protected, "_at": F.struct("mtime", "id")})
+    gone = running_sums(marked.withColumn("_size", F.when(F.col("_protected"), 0).otherwise(F.col("size"))), "_at", ["_size"], inclusive=False)
+    return gone.crossJoin(F.broadcast(total)).filter(~F.col("_protected") & (F.col("sum__size") < F.col("_total") - budget)).select(*entries.columns)  # one row
 
 
 def follow_alias(entries: DataFrame) -> DataFrame:
@@ -64,8 +64,13 @@ def phrase_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def first_location(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Per wanted key the first (shard, row) that has it. rows: key, shard, row."""
-    return rows.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("shard", "row")).alias("_l")).select("key", "_l.*")
+    """Per wanted key its (shard, row), as a scan of the shards in order finds it: the scan ends with the first shard after which all keys are known, and a later occurrence before that replaces an earlier one. rows: key, shard, row."""
+    wanted = keys.select("key").filter("key is not null").distinct()
+    hits = rows.join(wanted, "key", "left_semi")
+    firsts = hits.groupBy("key").agg(F.min("shard").alias("_first"))
+    end = firsts.agg(F.count("*").alias("_found"), F.max("_first").alias("_end")).crossJoin(wanted.agg(F.count("*").alias("_wanted")))  # one row
+    seen = hits.crossJoin(F.broadcast(end)).filter((F.col("_found") < F.col("_wanted")) | (F.col("shard") <= F.col("_end")))
+    return seen.groupBy("key").agg(F.max(F.struct("shard", "row")).alias("_l")).select("key", "_l.*")
 
 
 def classify_work(records: DataFrame, existing: DataFrame, skipped: DataFrame, longest: int) -> DataFrame:

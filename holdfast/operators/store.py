@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.operators.frames import first_per_key
+from holdfast.operators.frames import first_per_key, joinable
+from holdfast.operators.ordered import running_sums
 from holdfast.sources import shared
+from holdfast.sources.shared import written
 
 VECTORS, FAILURES = "key_hash string, key string, vec array<float>, seq long", "key_hash string, key string, error string, seq long"
 
@@ -117,7 +119,9 @@ def cached(df_keys: DataFrame, key: str, path: str, compute: Callable[[], DataFr
 
 
 def mixed_batches(df: DataFrame, order: list[str], chunk: int, seed: int, per_batch: int = 32) -> DataFrame:
-    """df with chunk and batch: rows in runs of `chunk`, the runs in an order drawn by hash, `per_batch` of them in a batch. Runs are numbered within the tasks of a range partition, so no task holds all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn("chunk", F.concat_ws(":", F.shiftright("_id", 33).cast("string"), F.floor(F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) / chunk).cast("string"))).drop("_id")
-    return numbered.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "chunk"), F.lit(per_batch)))
+    """df with chunk and batch: the rows, in order (which must be total), cut into runs of `chunk`; the runs in an order drawn by hash of seed and number, and `per_batch` of them in each batch. Rows and runs are numbered over ranges, so no task holds all."""
+    numbered = running_sums(df.withColumns({"_at": F.struct(*order), "_one": F.lit(1).cast("long")}), "_at", ["_one"])
+    rows = written(numbered.withColumn("chunk", F.floor((F.col("sum__one") - 1) / chunk)).drop("_at", "_one", "sum__one"), "chunks")
+    chunks = rows.select("chunk").distinct().withColumns({"_drawn": F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("chunk").cast("string")), 256).alias("h"), "chunk"), "_one": F.lit(1).cast("long")})
+    places = running_sums(chunks, "_drawn", ["_one"]).select("chunk", F.floor((F.col("sum__one") - 1) / per_batch).alias("batch"))
+    return rows.join(joinable(places), "chunk").select(*df.columns, "chunk", "batch")

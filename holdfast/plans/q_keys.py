@@ -35,22 +35,37 @@ REACTION_KEY = f"{KEPT.format(p=PARTS.format(n=1))} || '>>' || {KEPT.format(p=PA
 scalar("fn_reaction_key", "part", ["p_partkey AS k", f"{REACTION} AS x"], lambda: K.reaction_key(c("x")), REACTION_KEY)
 scalar("fn_accession_base", "part", ["p_partkey AS k", "CASE WHEN p_size % 5 = 0 THEN ' |x' ELSE concat(' ', p_name, ' |', p_brand, '|y') END AS x"], lambda: K.accession_base(c("x")), "nullif(trim(split_part(x, '|', 1)), '')")
 scalar("fn_isoform_root", "part", ["p_partkey AS k", "concat('P', p_size, CASE WHEN p_partkey % 2 = 0 THEN concat('-', p_partkey) ELSE '-b' END) AS x"], lambda: K.isoform_root(c("x")), r"regexp_replace(x, '-\d+$', '')")
-TOKEN = r"CASE WHEN length(x) > 0 THEN array_to_string(list_concat(list_slice(list_concat(string_split(x, '.'), ['-','-','-','-']), 1, 3), [CASE WHEN regexp_full_match(list_concat(string_split(x, '.'), ['-','-','-','-'])[4], '\d+') THEN list_concat(string_split(x, '.'), ['-','-','-','-'])[4] ELSE '-' END]), '.') END"
-scalar("fn_label_token", "part", ["p_partkey AS k", f"{LABEL} AS x"], lambda: K.label_token(c("x")), TOKEN)
+
+
+def token_sql(x):
+    """The label rule in SQL, for a text expression."""
+    own = f"list_filter(list_transform(string_split({x}, '.'), lambda p: trim(p)), lambda p: p <> '')"
+    clean = f"list_transform(list_slice({own}, 1, 4), lambda p: coalesce(nullif(regexp_replace(p, '[^A-Za-z0-9-]', '', 'g'), ''), '-'))"
+    whole = f"list_concat({clean}, ['-', '-', '-', '-'])"
+    return f"CASE WHEN len({own}) > 0 THEN array_to_string(list_slice({whole}, 1, 3), '.') || '.' || CASE WHEN regexp_full_match({whole}[4], '[0-9]+') THEN {whole}[4] ELSE '-' END END"
+
+
+ODD_LABEL = f"CASE p_partkey % 11 WHEN 0 THEN concat(p_size, '..2.3') WHEN 1 THEN concat(p_size, '.2 .3.', p_partkey) WHEN 2 THEN ' . ' WHEN 3 THEN NULL WHEN 4 THEN concat(p_size, '.*.(', p_partkey, ').7') WHEN 5 THEN concat('1.2.3.4.', p_size) ELSE {LABEL} END"
+scalar("fn_label_token", "part", ["p_partkey AS k", f"{ODD_LABEL} AS x"], lambda: K.label_token(c("x")), token_sql("x"))
+FOUND = r"regexp_extract_all(i.x, '(\d+(?:\.(?:\d+|-)){1,3})', 1)"
 scalar("fn_label_collection", "part", ["p_partkey AS k", f"concat('EC ', {LABEL}, '; also ', p_size % 7 + 1, '.2.-, and ', {LABEL}, ' end') AS x"], lambda: F.array_join(K.label_collection(c("x")), ";"),
-       r"(SELECT string_agg(v, ';' ORDER BY n) FROM (SELECT v, min(n) AS n FROM (SELECT " + TOKEN.replace("x", "u.x").replace("regeu.xp", "regexp").replace("u.x_", "x_") + r" AS v, u.n FROM (SELECT unnest(regexp_extract_all(i.x, '(\d+(?:\.(?:\d+|-)){1,3})', 1)) AS x, generate_subscripts(regexp_extract_all(i.x, '(\d+(?:\.(?:\d+|-)){1,3})', 1), 1) AS n) u) GROUP BY v))")
+       f"(SELECT string_agg(v, ';' ORDER BY n) FROM (SELECT v, min(n) AS n FROM (SELECT {token_sql('u.x')} AS v, u.n FROM (SELECT unnest({FOUND}) AS x, generate_subscripts({FOUND}, 1) AS n) u) GROUP BY v))")
 scalar("fn_clean_label", "part", ["p_partkey AS k", "CASE WHEN p_size % 4 = 0 THEN ' NaN ' WHEN p_size % 4 = 1 THEN NULL ELSE concat(' ', p_type, ' ') END AS x"], lambda: K.clean_label(c("x")), "CASE WHEN lower(trim(coalesce(x, ''))) = 'nan' THEN '' ELSE trim(coalesce(x, '')) END")
-EQUATION = "concat(CASE WHEN p_size % 2 = 0 THEN '2 ' ELSE '' END, replace(p_name, ' ', ' + 3 '), CASE WHEN p_size % 3 = 0 THEN ' <=> ' WHEN p_size % 3 = 1 THEN ' => ' ELSE ' = ' END, p_type)"
+EQUATION = "concat(CASE WHEN p_size % 2 = 0 THEN '2 ' WHEN p_size % 5 = 0 THEN '(n+1) ' ELSE '' END, 'C', p_partkey, ' + H+', CASE WHEN p_size % 3 = 0 THEN ' <=> ' WHEN p_size % 3 = 1 THEN ' => ' ELSE ' = ' END, 'C', p_size, '+', CASE WHEN p_partkey % 7 = 0 THEN ' + 3 water' WHEN p_partkey % 7 = 1 THEN ' = C1' ELSE ' + 3 C9' END)"
+IDS = "[CH][0-9]*[+]?"
 
 
 def _equation_text():
-    e = K.parse_equation(c("x"))
-    side = lambda s: F.array_join(F.transform(s, lambda p: F.concat(p["coef"].cast("string"), F.lit("*"), p["id"])), ",")
-    return F.concat_ws("|", side(e["left"]), side(e["right"]), e["direction"])
+    e = K.parse_equation(c("x"), IDS)
+    side = lambda s: F.array_join(F.transform(s, lambda p: F.concat(p["coef"], F.lit("*"), p["id"])), ",")
+    return F.when(e.isNotNull(), F.concat_ws("|", side(e["left"]), side(e["right"]), e["direction"]))
 
 
-SIDE = r"array_to_string(list_transform(list_filter(string_split(regexp_split_to_array(x, '<=>|=>|=')[{n}], '+'), lambda p: trim(p) <> ''), lambda p: coalesce(nullif(regexp_extract(trim(p), '^(\d+)\s+', 1), ''), '1') || '*' || regexp_replace(trim(p), '^\d+\s+', '')), ',')"
-scalar("fn_parse_equation", "part", ["p_partkey AS k", f"{EQUATION} AS x"], _equation_text, SIDE.format(n=1) + " || '|' || " + SIDE.format(n=2) + " || '|' || CASE WHEN x LIKE '%<=>%' THEN 'both' WHEN x LIKE '%=>%' THEN 'forward' ELSE 'both' END")
+HALVES = "string_split(replace(replace(x, ' <=> ', ' = '), ' => ', ' = '), ' = ')"
+TERMS = "string_split(" + HALVES + "[{n}], ' + ')"
+SIDE = "array_to_string(list_transform(" + TERMS + f", lambda p: coalesce(nullif(trim(regexp_extract(p, '(.*?){IDS}', 1)), ''), '1') || '*' || regexp_extract(p, '{IDS}')), ',')"
+NO_ID = "len(list_filter(list_concat(" + TERMS.format(n=1) + ", " + TERMS.format(n=2) + f"), lambda p: regexp_extract(p, '{IDS}') = '')) > 0"
+scalar("fn_parse_equation", "part", ["p_partkey AS k", f"{EQUATION} AS x"], _equation_text, f"CASE WHEN len({HALVES}) <> 2 OR {NO_ID} THEN NULL ELSE " + SIDE.format(n=1) + " || '|' || " + SIDE.format(n=2) + " || '|' || CASE WHEN contains(x, '<=>') THEN '<=>' ELSE '=>' END END")
 scalar("fn_mutate", "part", ["p_partkey AS k", "upper(replace(p_name, ' ', '')) AS x", "concat(substr(upper(p_name), 1, 1), '1G,', CASE WHEN p_size % 3 = 0 THEN 'G2W' ELSE 'G1W' END) AS e"],
        lambda: K.mutate(c("x"), F.split(c("e"), ",")), "CASE WHEN split_part(e, ',', 2) = 'G1W' THEN 'W' || substr(x, 2) END")
 scalar("fn_regex_extract", "part", ["p_partkey AS k", "concat('assay at pH ', p_size % 14, '.5, ', p_partkey % 90, ' C') AS x"],
@@ -60,7 +75,7 @@ scalar("fn_range_mean", "part", ["p_partkey AS k", "CASE WHEN p_size % 3 = 0 THE
 scalar("fn_first_part", "part", ["p_partkey AS k", "concat(p_name, ' ::', p_brand, '::z') AS x"], lambda: K.first_part(c("x")), "trim(split_part(x, '::', 1))")
 scalar("fn_struct_key_parts", "part", ["p_partkey AS k", "concat(p_type, ':P', p_size, CASE WHEN p_size % 2 = 0 THEN '|A' ELSE '' END) AS x"], lambda: K.structure_key(c("x")), "upper(split_part(split_part(x, '|', 1), ':', 1)) || CASE WHEN split_part(x, '|', 2) <> '' THEN '_' || split_part(x, '|', 2) ELSE '' END")
 scalar("fn_source_suffix", "part", ["p_partkey AS k", "concat(p_name, CASE WHEN p_size % 3 = 0 THEN '_alpha' WHEN p_size % 3 = 1 THEN '_beta' ELSE '' END) AS x"], lambda: K.source_suffix(c("x")), "CASE WHEN regexp_extract(x, '_(alpha|beta|gamma)$', 1) = '' THEN 'none' ELSE regexp_extract(x, '_(alpha|beta|gamma)$', 1) END")
-scalar("lk_hash_seed", "part", ["p_partkey AS k", "p_name AS x"], lambda: K.hash_seed(c("x")), "('0x' || substr(sha256(x), 1, 15))::BIGINT")
+scalar("lk_hash_seed", "part", ["p_partkey AS k", "p_name AS x"], lambda: K.hash_seed(c("x")), "('0x' || substr(sha256(x), 1, 16))::UBIGINT::DECIMAL(20, 0)")
 scalar("px_sorted_tuple", "part", ["p_partkey AS k", "concat(p_type, ' ; ', p_brand, ';;', p_type) AS x"], lambda: F.array_join(K.sorted_strings(F.split(c("x"), ";")), ","), "array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(x, ';'), lambda v: trim(v)), lambda v: v <> ''))), ',')")
 scalar("lk_wildcard_equal", "part", ["p_partkey AS k", "upper(substr(p_type, 1, 4)) AS a", "CASE WHEN p_size % 3 = 0 THEN upper(substr(p_type, 1, 4)) WHEN p_size % 3 = 1 THEN replace(upper(substr(p_type, 1, 4)), 'O', 'X') ELSE 'XXX' END AS b"], lambda: K.wildcard_equal(c("a"), c("b")),
        "length(a) = length(b) AND coalesce(list_bool_and(list_transform(range(1, length(a) + 1), lambda j: a[j] = b[j] OR (b[j] = 'X' AND strpos('ACDEFGHIKLMNPQRSTVWY', a[j]) = 0))), true)")

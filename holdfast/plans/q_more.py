@@ -134,7 +134,8 @@ def _cached_twice(t):
     return found
 
 
-query("dm_mixed_batches")(lambda t: S.mixed_batches(t.lineitem.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 512, 42).groupBy("batch").agg(F.count("*").alias("n")))
+query("dm_mixed_batches", "WITH r AS (SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) // 64 AS chunk FROM lineitem), c AS (SELECT chunk, (row_number() OVER (ORDER BY sha256('42:' || chunk), chunk) - 1) // 8 AS batch FROM (SELECT DISTINCT chunk FROM r)) SELECT chunk, batch, count(*) AS n, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM r JOIN c USING (chunk) GROUP BY 1, 2")(
+    lambda t: S.mixed_batches(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 64, 42, 8).groupBy("chunk", "batch").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi")))
 
 # Features from several stores
 STORES = "WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 <> 0), b AS (SELECT c_custkey, [c_acctbal] AS v FROM customer WHERE c_nationkey < 20)"
@@ -202,8 +203,11 @@ query("lk_phrase_match", r"WITH n AS (SELECT DISTINCT regexp_extract(text, '^([A
 MANIFEST = "WITH m AS (SELECT user_id AS k, arg_max(event_type, event_id) AS last, max(event_id) AS at FROM events WHERE event_type IN ('error', 'click') GROUP BY 1)"
 query("lk_manifest_status", MANIFEST + " SELECT k, last FROM m WHERE last = 'error' AND k IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")(
     lambda t: is_in(R.latest(t.events.filter("event_type IN ('error', 'click')").select(c("user_id").alias("k"), c("event_type").alias("last"), "event_id"), ["k"], ["event_id"]).filter("last = 'error'"), t.customer.filter("c_nationkey < 12").select(c("c_custkey").alias("k")), "k").select("k", "last"))
-query("lk_first_location", "SELECT l_partkey AS key, min((l_suppkey, l_orderkey))[1] AS shard, min((l_suppkey, l_orderkey))[2] AS row FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1")(
-    lambda t: R.first_location(t.lineitem.select(c("l_partkey").alias("key"), c("l_suppkey").alias("shard"), c("l_orderkey").alias("row")), t.part.filter("p_size < 10").select(c("p_partkey").alias("key"))))
+FIRST = "WITH w AS ({wanted}), h AS (SELECT l_partkey AS key, l_suppkey AS shard, l_orderkey AS row FROM lineitem WHERE l_partkey IN (SELECT key FROM w)), f AS (SELECT key, min(shard) AS first FROM h GROUP BY 1), e AS (SELECT CASE WHEN (SELECT count(*) FROM f) = (SELECT count(*) FROM w) THEN (SELECT max(first) FROM f) END AS stop) SELECT key, max((shard, row))[1] AS shard, max((shard, row))[2] AS row FROM h, e WHERE stop IS NULL OR shard <= stop GROUP BY 1"
+ALL_KEYS, SOME_KEYS = "SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_suppkey < 3", "SELECT p_partkey AS key FROM part WHERE p_size < 10 UNION ALL SELECT -1"
+query("lk_first_location", f"SELECT 'all' AS asked, * FROM ({FIRST.format(wanted=ALL_KEYS)}) UNION ALL SELECT 'some', * FROM ({FIRST.format(wanted=SOME_KEYS)})")(
+    lambda t: (lambda rows: R.first_location(rows, t.lineitem.filter("l_suppkey < 3").select(c("l_partkey").alias("key"))).withColumn("asked", F.lit("all"))
+               .unionByName(R.first_location(rows, t.part.filter("p_size < 10").select(c("p_partkey").alias("key")).union(t.spark.sql("SELECT -1L"))).withColumn("asked", F.lit("some"))))(t.lineitem.select(c("l_partkey").alias("key"), c("l_suppkey").alias("shard"), c("l_orderkey").alias("row"))))
 
 # Parsing, reuse, expansion
 query("px_xml_records", "SELECT page_id AS k, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]*)\"', 1) AS lang FROM pages")(

@@ -9,6 +9,7 @@ from holdfast.operators import metrics as M
 from holdfast.operators.aggregates import symmetric_max
 from holdfast.operators.selection import rank_labels
 from holdfast.plans import splits as P
+from holdfast.plans.q_stats import BALANCED
 from holdfast.plans.registry import over, query
 
 c = F.col
@@ -149,7 +150,8 @@ def flagship(t):
 
 
 query("spl_time_grouped", GROUPED + " SELECT ['train', 'val', 'test'][rank + 1] AS split, count(*) AS n FROM g GROUP BY 1")(flagship)
-query("spl_random_grouped")(lambda t: P.random_grouped_split(t.orders.select("o_orderkey", "o_custkey"), "o_custkey"))
+query("spl_random_grouped", "WITH RECURSIVE g AS (SELECT o_custkey::VARCHAR AS g, count(*) AS n FROM orders GROUP BY 1), " + BALANCED + " SELECT o_orderkey, o_custkey, ['train', 'val', 'test'][s] AS split FROM orders JOIN a ON g = o_custkey::VARCHAR")(
+    lambda t: P.random_grouped_split(t.orders.select("o_orderkey", "o_custkey"), "o_custkey"))
 query("spl_dispatch", "SELECT * FROM (VALUES ('kd', 'time'), ('kd', 'similarity'), ('km', 'time')) v(dataset, family)")(
     lambda t: t.spark.createDataFrame(P.dispatch({"km": {"time": {}}, "kd": {"similarity": {}, "time": {}}, "all_unified": {"time": {}}}), "dataset string, family string"))
 

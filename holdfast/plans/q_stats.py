@@ -175,14 +175,34 @@ query("sel_greedy_fill", SIMS.replace("WITH", "WITH RECURSIVE") + ", " + GREEDY.
 query("sel_topk_labels", PRED + ", q AS (SELECT label, count(*) AS n FROM p GROUP BY 1), x AS (SELECT b.query, b.label, row_number() OVER (PARTITION BY b.query ORDER BY b.score DESC, q.n DESC, b.label) AS rank FROM b JOIN q USING (label)) SELECT query, label, rank FROM x WHERE rank <= 20")(
     lambda t: S.rank_labels(predictions(t), predictions(t).groupBy("label").agg(F.count("*").alias("frequency")), 20).select("query", "label", c("rank").cast("long").alias("rank")))
 query("sel_limit", "SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(lambda t: t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select(c("o_orderkey").alias("k")))
-query("sel_balanced_assign")(lambda t: S.balanced_assign(t.orders.groupBy(c("o_custkey").cast("string").alias("g")).agg(F.count("*").alias("n")), "g", "n", {"train": 0.9, "val": 0.05, "test": 0.05}))
-query("sel_lpt_partition")(lambda t: S.lightest_bin(t.documents.groupBy(F.char_length("text").alias("length")).agg(F.count("*").alias("n")), 8))
-query("sel_length_bucket")(lambda t: S.length_buckets(t.documents.select("doc_id", F.char_length("text").alias("n")), "doc_id", "n", 100_000))
-
-
-@query("sel_negative_sampling", "WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part), n AS (SELECT p_partkey AS cand, p_size AS s FROM part WHERE p_retailprice < 950), "
-       "w AS (SELECT k, cand, abs(p.s - n.s) AS gap, row_number() OVER (PARTITION BY k ORDER BY abs(p.s - n.s) > 2, md5(k || ':' || cand)) AS r FROM p JOIN n ON abs(p.s - n.s) <= 4 AND k <> cand) SELECT k, cand FROM w WHERE r <= 3")
+SPLIT_TARGETS = "[0.9::DOUBLE * {n}, 0.05::DOUBLE * {n}, 0.05::DOUBLE * {n}]"
+CHANGE = "((a.f[s] + o.n) - a.t[s]) * ((a.f[s] + o.n) - a.t[s]) - (a.f[s] - a.t[s]) * (a.f[s] - a.t[s])"
+#: A walk over the groups g (g, n) in order of hash, with the rows of each split so far; s runs over the splits that may be chosen.
+BALANCED = ("o AS (SELECT g, n, row_number() OVER (ORDER BY sha256('42|' || g)) AS r, count(*) OVER () AS c FROM g), "
+            "a(r, f, t, g, n, s) AS (SELECT 0::BIGINT, [0, 0, 0]::BIGINT[], " + SPLIT_TARGETS.format(n="(SELECT sum(n) FROM g)") + ", NULL::VARCHAR, 0::BIGINT, 0::BIGINT UNION ALL "
+            "SELECT o.r, list_transform([1, 2, 3], lambda j: a.f[j] + CASE WHEN j = z.s THEN o.n ELSE 0 END)::BIGINT[], a.t, o.g, o.n::BIGINT, z.s::BIGINT FROM a JOIN o ON o.r = a.r + 1, "
+            "LATERAL (SELECT list_sort(list_transform(list_filter([1, 2, 3], lambda s: a.f[s] = 0 OR len(list_filter(a.f, lambda v: v = 0)) < o.c - a.r), lambda s: {'cost': " + CHANGE + ", 's': s}))[1].s AS s) z)")
+query("sel_balanced_assign", "WITH RECURSIVE g AS (SELECT o_custkey::VARCHAR AS g, count(*) AS n FROM orders GROUP BY 1), " + BALANCED + " SELECT g, n, ['train', 'val', 'test'][s] AS split FROM a WHERE r > 0")(lambda t: S.balanced_assign(t.orders.groupBy(c("o_custkey").cast("string").alias("g")).agg(F.count("*").alias("n")), "g", "n", {"train": 0.9, "val": 0.05, "test": 0.05}))
+LIGHTEST = ("WITH RECURSIVE o AS (SELECT length(text) AS n, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS r FROM documents), "
+            "a(r, f, n, b) AS (SELECT 0::BIGINT, list_transform(range(8), lambda i: 0)::BIGINT[], 0::BIGINT, 0::BIGINT UNION ALL "
+            "SELECT o.r, list_transform(range(1, 9), lambda j: a.f[j] + CASE WHEN j = list_position(a.f, list_min(a.f)) THEN o.n * o.n ELSE 0 END)::BIGINT[], o.n::BIGINT, list_position(a.f, list_min(a.f)) - 1 FROM a JOIN o ON o.r = a.r + 1) ")
+query("sel_lpt_partition", LIGHTEST + "SELECT n AS length, b AS bin, count(*) AS n FROM a WHERE r > 0 GROUP BY 1, 2")(lambda t: S.lightest_bin(t.documents.groupBy(F.char_length("text").alias("length")).agg(F.count("*").alias("n")), 8))
+BUCKETS = ("WITH RECURSIVE o AS (SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY length(text), doc_id) AS r FROM documents), "
+           "a(r, doc_id, bucket, held) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT UNION ALL "
+           "SELECT o.r, o.doc_id, CASE WHEN z.cut THEN a.bucket + 1 ELSE a.bucket END, CASE WHEN z.cut THEN 1 ELSE a.held + 1 END FROM a JOIN o ON o.r = a.r + 1, LATERAL (SELECT a.held > 0 AND (a.held >= 20 OR (a.held + 1) * (o.n + 2) > 30000) AS cut) z) ")
+query("sel_length_bucket", BUCKETS + "SELECT doc_id, bucket FROM a WHERE r > 0")(lambda t: S.length_buckets(t.documents.select("doc_id", F.char_length("text").alias("n")), "doc_id", "n", 30_000, 20))
+NEGATIVES = ("WITH RECURSIVE p AS (SELECT s_suppkey AS k, s_nationkey AS own FROM supplier), q AS (SELECT k, n_nationkey AS cand, round(1 - abs(own - n_nationkey) / 25, 9) AS sim FROM p JOIN nation ON n_nationkey <> own), "
+             "l AS (SELECT own AS cand, 2 * count(*) AS most FROM p GROUP BY 1), "
+             "v AS (SELECT *, CASE WHEN sim >= 0.9 THEN 0 ELSE least(18, ceil(round((0.9 - sim) / 0.05, 9)))::INT END AS level FROM q WHERE sim <= 0.95), "
+             "u AS (SELECT k, level, sum(count(*)) OVER (PARTITION BY k ORDER BY level) AS upto FROM v GROUP BY 1, 2), w AS (SELECT k, coalesce(min(level) FILTER (upto >= 2), max(level)) AS reach FROM u GROUP BY 1), "
+             "d AS (SELECT v.k, v.cand, l.most, row_number() OVER (ORDER BY md5('42:' || v.k || ':' || v.cand), v.k) AS r FROM v JOIN w USING (k) JOIN l USING (cand) WHERE level <= reach), "
+             "a(r, k, cand, ks, cs, took) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, MAP {0::BIGINT: 0::BIGINT}, MAP {0::BIGINT: 0::BIGINT}, false UNION ALL "
+             "SELECT d.r, d.k::BIGINT, d.cand::BIGINT, CASE WHEN z.ok THEN map_concat(a.ks, MAP {d.k::BIGINT: coalesce(a.ks[d.k], 0) + 1}) ELSE a.ks END, CASE WHEN z.ok THEN map_concat(a.cs, MAP {d.cand::BIGINT: coalesce(a.cs[d.cand], 0) + 1}) ELSE a.cs END, z.ok FROM a JOIN d ON d.r = a.r + 1, "
+             "LATERAL (SELECT coalesce(a.ks[d.k], 0) < 2 AND coalesce(a.cs[d.cand], 0) < d.most AS ok) z) SELECT k, cand FROM a WHERE took")
+
+
+@query("sel_negative_sampling", NEGATIVES)
 def _(t):
-    return S.negatives(t.part.select(c("p_partkey").alias("k"), c("p_size").alias("s")), t.part.filter("p_retailprice < 950").select(c("p_partkey").alias("cand"), c("p_size").alias("s")), 2, 4, 3)
-
-
+    positives = t.supplier.select(c("s_suppkey").alias("k"), c("s_nationkey").alias("cand"))
+    pairs = positives.withColumnRenamed("cand", "own").join(F.broadcast(t.nation.select(c("n_nationkey").alias("cand"))), c("own") != c("cand"))
+    return S.negatives(positives, pairs.select("k", "cand", F.round(1 - F.abs(c("own") - c("cand")) / 25, 9).alias("sim")), 0.9, 0.95, 0.05, 2)

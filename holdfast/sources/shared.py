@@ -7,7 +7,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: dict[str, str] = {}
@@ -30,6 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and its lineage cut, so that a lost executor costs a reread."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None or spark.sparkContext._jvm is None:
         return

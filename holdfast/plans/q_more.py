@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from holdfast.functions.records import article_records
 from holdfast.operators import runs as R
 from holdfast.operators import store as S
 from holdfast.operators import structures as X
@@ -120,11 +121,48 @@ def a_store(t):
 HAS_RING = "contains(p_name, 'ring')"
 query("sto_incremental_embed", f"SELECT DISTINCT p_name AS key FROM part WHERE {HAS_RING}")(lambda t: (lambda s: s.missing(t.part.select(c("p_name").alias("key"))).select("key"))(a_store(t)))
 query("sto_put", f"SELECT DISTINCT p_name AS key, length(p_name) AS n FROM part WHERE NOT {HAS_RING}")(lambda t: a_store(t).vectors().select("key", c("vec")[0].cast("long").alias("n")))
-query("sto_flush", f"SELECT DISTINCT p_name AS key FROM part WHERE {HAS_RING}")(lambda t: a_store(t).failures().select("key"))
+query("sto_flush", f"WITH a AS (SELECT DISTINCT p_name FROM part WHERE p_size < 10 AND NOT {HAS_RING}), b AS (SELECT DISTINCT p_name FROM part WHERE NOT {HAS_RING} EXCEPT SELECT * FROM a) SELECT 1::BIGINT AS seq, count(*) AS vectors, count(DISTINCT substr(sha256(p_name), 1, 24)) AS indexed FROM a HAVING count(*) > 0 UNION ALL SELECT 2, count(*), count(DISTINCT substr(sha256(p_name), 1, 24)) FROM b HAVING count(*) > 0")(
+    lambda t: (lambda s: s.rows().groupBy("seq").agg(F.count("*").alias("vectors")).join(s.index().groupBy("seq").agg(F.count_distinct("key_hash").alias("indexed")), "seq"))(a_store(t)))
+
+
+def _staged_only(t):
+    """A store whose flush was cut off after the checkpoint, opened again."""
+    s = S.VectorStore(t.spark, shared.scratch(t.spark, "store"), 1)
+    s.stage(t.part.select(c("p_name").alias("key")), lambda keys: ([[float(len(k))] for k in keys], [None if "ring" not in k else "no ring" for k in keys]), 5)
+    return S.VectorStore(t.spark, s.path, 1)
+
+
+query("sto_checkpoint", f"SELECT DISTINCT p_name AS key, 5::BIGINT AS seq, length(p_name)::BIGINT AS n FROM part WHERE NOT {HAS_RING}")(lambda t: _staged_only(t).vectors().select("key", "seq", c("vec")[0].cast("long").alias("n")))
+
+
+def _reclaimed(t):
+    s = S.VectorStore(t.spark, shared.scratch(t.spark, "store"), 1)
+    for k in range(4):
+        s.put(t.part.filter(c("p_partkey") % 4 == k).select(c("p_name").alias("key"), F.array(c("p_size").cast("float")).alias("vec")), k)
+    files = s.reclaim()
+    return s.rows().groupBy("key").agg(F.count("*").alias("n")).withColumn("files", F.lit(files).cast("long"))
+
+
+query("sto_reclaim", "SELECT DISTINCT p_name AS key, 1::BIGINT AS n, 1::BIGINT AS files FROM part")(_reclaimed)
 query("sto_meta", "SELECT 2 AS dim")(lambda t: (lambda s: t.spark.createDataFrame([(shared.read_json(t.spark, s.path + "/meta.json")["dim"],)], "dim int"))(a_store(t)))
 query("cch_fingerprint", "WITH k AS (SELECT DISTINCT sha256(p_name) AS h FROM part) SELECT sha256(count(*) || '|' || sum(('0x' || substr(h, 1, 15))::BIGINT) || '|' || sum(('0x' || substr(h, 16, 15))::BIGINT) || '|metric=cosine') AS fingerprint FROM k")(lambda t: S.fingerprint(t.part, "p_name", metric="cosine"))
 query("cch_similarity", "SELECT p_name AS key, max(p_size) AS v FROM part GROUP BY 1")(lambda t: _cached_twice(t))
-query("cch_materialized", "SELECT p_name AS key, max(p_size) AS v FROM part GROUP BY 1")(lambda t: _cached_twice(t))
+
+
+def _policies(t):
+    """What each policy makes of a table that was published with a third of its rows, and of one for other parameters."""
+    keys, out = t.part.select(c("p_name").alias("key")).distinct(), None
+    whole = lambda: t.part.groupBy(c("p_name").alias("key")).agg(F.max("p_size").alias("v"))
+    for policy in ("trust_complete", "metadata", "full"):
+        for case, kind in (("partial", "max"), ("other", "min")):
+            path = shared.scratch(t.spark, "features")
+            S.materialized(keys, "key", path, lambda: whole().filter("v % 3 = 0"), kind="max")
+            found = S.materialized(keys, "key", path, whole, policy, kind=kind).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("v")).withColumns({"policy": F.lit(policy), "found": F.lit(case)})
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+query("cch_materialized", "WITH a AS (SELECT p_name, max(p_size) AS v FROM part GROUP BY 1) SELECT policy, found, count(*) AS n, sum(v)::BIGINT AS v FROM a, (VALUES ('trust_complete', 'partial', true), ('trust_complete', 'other', true), ('metadata', 'partial', true), ('metadata', 'other', false), ('full', 'partial', false), ('full', 'other', false)) p(policy, found, kept) WHERE NOT kept OR v % 3 = 0 GROUP BY 1, 2")(_policies)
 
 
 def _cached_twice(t):
@@ -210,8 +248,12 @@ query("lk_first_location", f"SELECT 'all' AS asked, * FROM ({FIRST.format(wanted
                .unionByName(R.first_location(rows, t.part.filter("p_size < 10").select(c("p_partkey").alias("key")).union(t.spark.sql("SELECT -1L"))).withColumn("asked", F.lit("some"))))(t.lineitem.select(c("l_partkey").alias("key"), c("l_suppkey").alias("shard"), c("l_orderkey").alias("row"))))
 
 # Parsing, reuse, expansion
-query("px_xml_records", "SELECT page_id AS k, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]*)\"', 1) AS lang FROM pages")(
-    lambda t: t.pages.select(c("page_id").alias("k"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("lang")))
+ARTICLE = ("concat('<Set><PubmedArticle><MedlineCitation><Article><ArticleTitle>', p_name, '</ArticleTitle>', CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('<Abstract><AbstractText>', p_type, '</AbstractText><AbstractText>more</AbstractText></Abstract>') END, "
+           "'</Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType=\"doi\">10.1/', p_partkey, '</ArticleId>', CASE WHEN p_size % 4 = 0 THEN '' ELSE concat('<ArticleId IdType=\"pubmed\">', p_partkey, '</ArticleId>') END, "
+           "'</ArticleIdList></PubmedData></PubmedArticle><PubmedArticle><PubmedData><ArticleIdList><ArticleId IdType=\"pubmed\">7</ArticleId></ArticleIdList></PubmedData></PubmedArticle>', CASE WHEN p_partkey % 9 = 0 THEN '' ELSE '</Set>' END)")
+rows_xml, head_xml = over("part", "p_partkey AS k", f"{ARTICLE} AS x")
+query("px_xml_records", "SELECT p_partkey AS k, CASE WHEN p_size % 4 <> 0 THEN p_partkey::VARCHAR END AS pmid, p_name AS title, CASE WHEN p_size % 3 <> 0 THEN p_type END AS abstract, '10.1/' || p_partkey AS doi FROM part WHERE p_partkey % 9 <> 0 UNION ALL SELECT p_partkey, '7', NULL, NULL, NULL FROM part WHERE p_partkey % 9 <> 0")(
+    lambda t: rows_xml(t).select("k", F.inline(article_records(c("x")))))
 query("px_schema_variants", "SELECT coalesce(CASE WHEN p_size % 2 = 0 THEN p_partkey END, p_partkey + 100000) AS id, p_name AS sequence FROM part WHERE p_size % 7 <> 0")(
     lambda t: t.part.select(F.coalesce(F.when(c("p_size") % 2 == 0, c("p_partkey")), c("p_partkey") + 100000).alias("id"), F.coalesce(F.when(c("p_size") % 7 == 0, F.lit("")), "p_name").alias("sequence")).filter("sequence <> '' AND id IS NOT NULL"))
 query("px_name_clash", "SELECT regexp_replace(x, '[^A-Za-z0-9_.-]+', '_', 'g') AS name, count(DISTINCT x) AS n FROM (SELECT p_name AS x FROM part UNION ALL SELECT replace(p_name, ' ', '/') FROM part WHERE p_size < 5) GROUP BY 1 HAVING count(DISTINCT x) > 1")(

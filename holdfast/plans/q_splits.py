@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from holdfast.functions import vectors as V
+from holdfast.functions.align import identity_coverage
 from holdfast.operators import metrics as M
 from holdfast.operators.aggregates import symmetric_max
 from holdfast.operators.selection import rank_labels
@@ -55,8 +56,11 @@ PAIRS = "list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, 1
 query("fn_atompair", head_sh + f"SELECT k, len({PAIRS}) AS n FROM i")(lambda t: rows_sh(t).select("k", F.size(V.head_pairs(c("x"))).cast("long").alias("n")))
 query("fn_drfp", head_sh + f"SELECT k, len(list_filter({GRAMS.format(x='x')}, lambda g: NOT list_contains({GRAMS.format(x='y')}, g))) + len(list_filter({GRAMS.format(x='y')}, lambda g: NOT list_contains({GRAMS.format(x='x')}, g))) AS n FROM i")(
     lambda t: rows_sh(t).select("k", F.size(V.set_difference_both(V.shingles(c("x"), 3), V.shingles(c("y"), 3))).cast("long").alias("n")))
-query("fn_identity_coverage", "SELECT p_partkey AS k, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS identity FROM part")(
-    lambda t: t.part.select(c("p_partkey").alias("k"), F.round(1 - F.levenshtein("p_name", "p_type") / F.greatest(F.length("p_name"), F.length("p_type")), 6).alias("identity")))
+#: A sequence against a stretch of itself, whole or with one letter in the middle that it does not have: the best alignment is known.
+STRETCH = "CASE p_partkey % 4 WHEN 0 THEN substr(repeat(p_name, 2), 3, 12) WHEN 1 THEN concat(substr(repeat(p_name, 2), 3, 5), '#', substr(repeat(p_name, 2), 9, 6)) WHEN 2 THEN '' ELSE repeat(p_name, 2) END"
+rows_al, head_al = over("part", "p_partkey AS k", "repeat(p_name, 2) AS a", f"{STRETCH} AS b")
+query("fn_identity_coverage", head_al + "SELECT k, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN round(11 / 12::DOUBLE, 6) WHEN 2 THEN 0 ELSE 1 END::DOUBLE AS identity, round(length(b) / length(a)::DOUBLE, 6) AS coverage FROM i")(
+    lambda t: rows_al(t).select("k", identity_coverage("a", "b").alias("r")).select("k", F.round("r.identity", 6).alias("identity"), F.round("r.coverage", 6).alias("coverage")))
 query("fn_mean_bfactor", "WITH b AS (SELECT l_orderkey AS k, count(*) AS n, avg(l_quantity / 50) AS m, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1) SELECT k, round(CASE WHEN lo = hi THEN NULL WHEN m <= 1 THEN m * 100 ELSE m END, 4) AS v FROM b")(
     lambda t: __import__("holdfast.operators.structures", fromlist=["x"]).mean_confidence(t.lineitem.select(c("l_orderkey").alias("k"), (c("l_quantity") / 50).alias("b")), "k", "b").select("k", F.round("v", 4).alias("v")))
 
@@ -140,9 +144,13 @@ def _(t):
 
 
 # Time and groups
-TIME = "WITH n AS (SELECT count(*) AS n FROM orders), d AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT day, n, coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d), t AS (SELECT day, n, before < floor(0.9::DOUBLE * (SELECT n FROM n)) AS train FROM b), v AS (SELECT day, train, coalesce(sum(CASE WHEN NOT train THEN n END) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM t), r AS (SELECT day, CASE WHEN train THEN 0 WHEN later < floor(0.05::DOUBLE * (SELECT n FROM n)) THEN 1 ELSE 2 END AS rank FROM v)"
+DAYS = "d AS (SELECT day, count(*) AS n FROM x WHERE day IS NOT NULL GROUP BY 1), b AS (SELECT day, n, coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d), t AS (SELECT day, n, before + (SELECT count(*) FROM x WHERE day IS NULL) < floor(0.9::DOUBLE * (SELECT n FROM n)) AS train FROM b), v AS (SELECT day, train, coalesce(sum(CASE WHEN NOT train THEN n END) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM t), r AS (SELECT day, CASE WHEN train THEN 0 WHEN later < floor(0.05::DOUBLE * (SELECT n FROM n)) THEN 1 ELSE 2 END AS rank FROM v)"
+TIME = "WITH x AS (SELECT *, o_orderdate::DATE AS day FROM orders), n AS (SELECT count(*) AS n FROM x), " + DAYS
 GROUPED = TIME + ", g AS (SELECT o_orderkey, min(rank) OVER (PARTITION BY o_custkey, o_orderpriority) AS rank FROM orders JOIN r ON o_orderdate::DATE = day)"
-query("spl_time", TIME + " SELECT o_orderkey, ['train', 'val', 'test'][rank + 1] AS split FROM orders JOIN r ON o_orderdate::DATE = day")(lambda t: P.time_split(t.orders, "o_orderdate").select("o_orderkey", "split"))
+MESSY = "CASE o_orderkey % 17 WHEN 0 THEN 'unknown' WHEN 1 THEN '2020-13-45' WHEN 2 THEN NULL ELSE substr(cast(o_orderdate AS string), 1, 10) END"
+rows_md, head_md = over("orders", "o_orderkey", f"{MESSY} AS date")
+query("spl_time", head_md.replace("AS string", "AS VARCHAR").rstrip() + ", x AS (SELECT o_orderkey, TRY_CAST(date AS TIMESTAMP)::DATE AS day FROM i), n AS (SELECT count(*) AS n FROM x), " + DAYS + " SELECT o_orderkey, ['train', 'val', 'test'][coalesce(rank, 0) + 1] AS split FROM x LEFT JOIN r USING (day)")(
+    lambda t: P.time_split(rows_md(t), "date").select("o_orderkey", "split"))
 
 
 def flagship(t):

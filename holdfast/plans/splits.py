@@ -78,14 +78,20 @@ def companion_split(df: DataFrame, assignment: DataFrame, key: str) -> DataFrame
     return apply_split(df, assignment, key)
 
 
+def day_of(df: DataFrame, date: str) -> Column:
+    """The day of a date, a time or a text; null where a text is not a time."""
+    own = F.col(date)
+    return F.to_date(F.try_to_timestamp(own) if df.schema[date].dataType.simpleString() == "string" else own)
+
+
 def time_split(df: DataFrame, date: str, fractions: Fractions = Fractions(), groups: list[str] | None = None, missing: str = "train") -> DataFrame:
     """df with split: whole days in order, each to train while train has fewer rows than its share, then to val, then to test.
 
-    Rows without a date go to `missing` (train, val, test, drop or error), where they count
+    Rows without a date, and with a text that is not one, go to `missing` (train, val, test, drop or error), where they count
     towards its share. With groups, every row of a group then moves to the group's earliest split;
     null is a group of its own. The running sums are over days, which are few.
     """
-    day = F.to_date(date)
+    day = day_of(df, date)
     n, undated = df.agg(F.count("*"), F.count_if(day.isNull())).first()
     if undated and missing == "error":
         raise ValueError(f"{undated} rows have no date")

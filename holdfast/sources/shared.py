@@ -14,9 +14,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where it is unset, a folder of our own, one for an application."""
+    """spark.checkpoint.dir, or, where it is unset and everything runs on this machine, a folder of our own, one for an application. On a cluster it must be set, as executors see no folder of the driver's."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="holdfast-shared-")
@@ -62,26 +65,41 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def sizes(spark: SparkSession, path: str, suffix: str) -> list[int]:
+    """Bytes of the files in a folder whose names end so."""
+    fs, where = _fs(spark, path)
+    return [x.getLen() for x in fs.listStatus(where) if x.isFile() and x.getPath().getName().endswith(suffix)] if fs.exists(where) else []
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     fs, a = _fs(spark, old)
     if not fs.rename(a, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)):
         raise OSError(f"{old} could not be renamed to {new}")
 
 
+def replace(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file onto another in one step of the file system, so that readers see the older or the newer one, never none."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    a, b = hadoop.Path(old), hadoop.Path(new)
+    context = hadoop.FileContext.getFileContext(_fs(spark, new)[0].getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(a, b, options)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _fs(spark, path)
     fs.delete(where, True)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Whole or not at all: another name first, then a rename. An older file goes."""
+    """Whole or not at all: another name first, then a rename over the older file."""
     fs, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if exists(spark, path):
-        delete(spark, path)
-    rename(spark, part.toString(), path)
+    replace(spark, part.toString(), path)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.sources.shared import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
@@ -39,9 +43,16 @@ def shingles(x: Column, n: int) -> Column:
     return F.array_distinct(F.when(F.char_length(x) < n, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(x) - n + 1), lambda i: F.substr(x, i, F.lit(n)))))
 
 
-def head_pairs(x: Column) -> Column:
-    """Distinct (first character, distance, other character) triples: the stand-in for atom pairs at a distance."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - 1, F.lit(1))), lambda i: F.concat(F.substring(x, 1, 1), i.cast("string"), F.substr(x, i + 1, F.lit(1)))))
+def character_pairs(x: Column, reach: int) -> Column:
+    """Distinct (character, distance, character) triples of all pairs up to `reach` apart, the lesser character first: what atom pairs are for a molecule, for a text."""
+    one = lambda d: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - d, F.lit(1))), lambda i: F.when(i + d <= F.char_length(x), F.concat(F.least(F.substr(x, i, F.lit(1)), F.substr(x, i + d, F.lit(1))), F.lit(str(d)), F.greatest(F.substr(x, i, F.lit(1)), F.substr(x, i + d, F.lit(1))))))
+    return F.array_distinct(F.array_compact(F.flatten(F.array(*[one(d) for d in range(1, reach + 1)]))))
+
+
+def neighbourhoods(x: Column, radius: int) -> Column:
+    """Distinct hashes of the stretch around each character, for every radius from 0 on: what circular fingerprints are for a molecule, for a text."""
+    one = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1))), lambda i: F.xxhash64(F.lit(r), F.substr(x, F.greatest(i - r, F.lit(1)), F.least(i, F.lit(r + 1)) + r)))
+    return F.when(F.char_length(x) > 0, F.array_distinct(F.flatten(F.array(*[one(r) for r in range(radius + 1)])))).otherwise(F.array().cast("array<bigint>"))
 
 
 def set_difference_both(a: Column, b: Column) -> Column:
@@ -71,40 +82,110 @@ def standardise(v: Column, mean: Column | float, std: Column | float) -> Column:
     return F.when(valid(v), F.transform(v, lambda x: (x - mean) / std)).otherwise(v)
 
 
-def max_similarity(vectors: DataFrame, key: str, vector: str, kind: str = "cosine", block: int = 2048) -> DataFrame:
+BLOCK_BYTES = 64 << 20
+PRODUCTS = 1 << 22  # of a multiplication at a time in a task
+
+
+def in_blocks(rows: DataFrame, key: str, size: int) -> Iterator[pa.Table]:
+    """A written table in blocks of some `size` rows, dealt by hash of the key, one at a time on the driver; a block is what is broadcast against all rows."""
+    blocks = max(1, -(-rows.count() // size))
+    for b in range(blocks):
+        yield rows.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow()
+
+
+def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def unit_rows(x: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm < least, 1.0, norm)
+
+
+def block_rows(rows: DataFrame, vector: str) -> int:
+    """Rows whose vectors fit BLOCK_BYTES."""
+    first = rows.select(F.size(vector).alias("n")).first()
+    return max(1, BLOCK_BYTES // (8 * max(1, first["n"] if first else 1)))
+
+
+def best_of(parts: list[DataFrame], key: str) -> DataFrame:
+    """key, sim: the largest sim of each key over the blocks; 0.0 where there was nothing to compare with."""
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy(key).agg(F.max("sim").alias("sim")).withColumn("sim", F.when(F.col("sim") == float("-inf"), 0.0).otherwise(F.col("sim")))
+
+
+def max_similarity(vectors: DataFrame, key: str, vector: str, kind: str = "cosine", block: int | None = None) -> DataFrame:
     """key, sim: the largest similarity of each valid vector to another one; 0.0 where it is the only one.
 
-    All rows against all rows, in blocks: rows are dealt into blocks by hash of the key,
-    each task multiplies two blocks and gives one number for each row of the first, and
-    the maxima of the tasks are combined. No pair of rows is ever emitted. Keys must be
-    unique; rows without a valid vector are left out. kind: cosine or tanimoto.
+    All rows against all rows, in blocks of bounded size that are broadcast one after the
+    other: a task multiplies its rows with the block where they lie, so vectors are never
+    shuffled, and gives a number for each row and block, never a pair. Keys must be
+    unique; rows without a valid vector are left out. kind: cosine or tanimoto. block:
+    rows of a block, by default what fits BLOCK_BYTES.
+    """
+    own = written(vectors.filter(valid(F.col(vector))).select(key, F.col(vector).cast("array<double>").alias("_v")), "vectors")
+    kind_of = own.schema[key].dataType.simpleString()
+    prepared = unit_rows if kind == "cosine" else lambda x: (x > 0).astype(np.float64)
+    parts = []
+    for table in in_blocks(own, key, block or block_rows(own, "_v")):
+        shared = own.sparkSession.sparkContext.broadcast((table.column(key).to_pylist(), prepared(matrix_of(table.column("_v")))))
+
+        def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            keys, y = shared.value
+            at, sizes = {k: i for i, k in enumerate(keys)}, y.sum(axis=1)
+            for batch in batches:
+                x, best = prepared(matrix_of(batch.column("_v"))), []
+                step = max(1, PRODUCTS // max(1, len(keys)))
+                for lo in range(0, len(x) if keys else 0, step):
+                    sims = x[lo : lo + step] @ y.T
+                    if kind == "tanimoto":
+                        union = x[lo : lo + step].sum(axis=1)[:, None] + sizes[None, :] - sims
+                        sims = np.divide(sims, union, out=np.zeros_like(sims), where=union > 0)
+                    for i, k in enumerate(batch.column(key)[lo : lo + step].to_pylist()):
+                        if k in at:
+                            sims[i, at[k]] = -np.inf
+                    best.append(sims.max(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.concatenate(best) if best else np.full(len(x), -np.inf))], names=[key, "sim"])
+
+        parts.append(own.mapInArrow(multiply, f"{key} {kind_of}, sim double"))
+    return best_of(parts, key)
+
+
+def max_set_similarity(sets: DataFrame, key: str, column: str, block: int | None = None) -> DataFrame:
+    """key, sim: the largest Tanimoto similarity of each set (an array<bigint> without repeats) to another one; 0.0 where it is the only one, or empty.
+
+    As max_similarity, with an inverted index of each block in place of the product, so an
+    element that very many sets have costs a number for each row and set of a block, and no
+    pair is shuffled. block: sets of a block, by default of some BLOCK_BYTES together.
     """
-    own = vectors.filter(valid(F.col(vector))).select(key, F.col(vector).alias("_v"))
-    n = own.count()
-    blocks = max(1, -(-n // block))
-    dealt = own.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    left = dealt.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_left", F.lit(True))
-    right = dealt.withColumnsRenamed({"_b": "_c"}).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_left", F.lit(False))
-    kind_of = vectors.schema[key].dataType.simpleString()
-
-    def matrix(rows: pd.Series) -> np.ndarray:
-        x = np.stack(rows.to_numpy()).astype(np.float64)
-        if kind == "cosine":
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            return x / np.where(norm < 1e-10, 1.0, norm)
-        return (x > 0).astype(np.float64)
-
-    def product(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["_left"]], frame[~frame["_left"]]
-        if a.empty or b.empty:
-            return pd.DataFrame({key: a[key], "sim": np.full(len(a), -np.inf)})
-        x, y = matrix(a["_v"]), matrix(b["_v"])
-        sims = x @ y.T
-        if kind == "tanimoto":
-            union = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :] - sims
-            sims = np.divide(sims, union, out=np.zeros_like(sims), where=union > 0)
-        sims[a[key].to_numpy()[:, None] == b[key].to_numpy()[None, :]] = -np.inf
-        return pd.DataFrame({key: a[key].to_numpy(), "sim": sims.max(axis=1)})
-
-    parts = left.unionByName(right).groupBy("_b", "_c").applyInPandas(product, f"{key} {kind_of}, sim double")
-    return parts.groupBy(key).agg(F.max("sim").alias("sim")).withColumn("sim", F.when(F.col("sim") == float("-inf"), 0.0).otherwise(F.col("sim")))
+    own = written(sets.select(key, F.col(column).alias("_s")), "sets")
+    kind_of = own.schema[key].dataType.simpleString()
+    rows, elements = own.agg(F.count("*"), F.sum(F.size("_s"))).first()
+    parts = []
+    for table in in_blocks(own, key, block or max(1, BLOCK_BYTES // 16 * rows // max(1, elements or 1))):
+        column_ = table.column("_s").combine_chunks()
+        terms, lengths = column_.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(column_.offsets.to_numpy()) if len(column_) else np.zeros(0, np.int64)
+        order = np.argsort(terms, kind="stable")
+        shared = own.sparkSession.sparkContext.broadcast((table.column(key).to_pylist(), lengths, terms[order], np.repeat(np.arange(len(lengths)), lengths)[order]))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            keys, sizes, terms, holders = shared.value
+            at = {k: i for i, k in enumerate(keys)}
+            for batch in batches:
+                best, mine = [], batch.column("_s")
+                for i, k in enumerate(batch.column(key).to_pylist()):
+                    x = mine[i].values.to_numpy(zero_copy_only=False)
+                    lo, n = np.searchsorted(terms, x, "left"), 0
+                    n = np.searchsorted(terms, x, "right") - lo
+                    places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    both = np.bincount(holders[places], minlength=len(keys))
+                    sims = np.divide(both, sizes + len(x) - both, out=np.zeros(len(keys)), where=(sizes + len(x)) > 0)
+                    if k in at:
+                        sims[at[k]] = -np.inf
+                    best.append(sims.max(initial=-np.inf))
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(best, pa.float64())], names=[key, "sim"])
+
+        parts.append(own.mapInArrow(count, f"{key} {kind_of}, sim double"))
+    return best_of(parts, key)

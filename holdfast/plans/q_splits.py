@@ -51,9 +51,10 @@ def _encode(t):
 
 rows_sh, head_sh = over("part", "p_partkey AS k", "p_name AS x", "p_type AS y")
 GRAMS = "list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3)))"
-query("fn_morgan", head_sh + f"SELECT k, len({GRAMS.format(x='x')}) AS n FROM i")(lambda t: rows_sh(t).select("k", F.size(V.shingles(c("x"), 3)).cast("long").alias("n")))
-PAIRS = "list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, 1, 1) || i || substr(x, i + 1, 1)))"
-query("fn_atompair", head_sh + f"SELECT k, len({PAIRS}) AS n FROM i")(lambda t: rows_sh(t).select("k", F.size(V.head_pairs(c("x"))).cast("long").alias("n")))
+AROUND = "list_transform(range(1, length(x) + 1), lambda i: '{r}' || substr(x, greatest(i - {r}, 1)::INT, (least(i, {r} + 1) + {r})::INT))"
+query("fn_morgan", head_sh + "SELECT k, len(list_distinct(" + "list_concat(list_concat(" + AROUND.format(r=0) + ", " + AROUND.format(r=1) + "), " + AROUND.format(r=2) + "))) AS n FROM i")(lambda t: rows_sh(t).select("k", F.size(V.neighbourhoods(c("x"), 2)).cast("long").alias("n")))
+APART = "list_transform(range(1, length(x) - {d} + 1), lambda i: least(substr(x, i, 1), substr(x, i + {d}, 1)) || '{d}' || greatest(substr(x, i, 1), substr(x, i + {d}, 1)))"
+query("fn_atompair", head_sh + "SELECT k, array_to_string(list_sort(list_distinct(list_concat(list_concat(" + APART.format(d=1) + ", " + APART.format(d=2) + "), " + APART.format(d=3) + "))), ',') AS pairs FROM i")(lambda t: rows_sh(t).select("k", F.array_join(F.array_sort(V.character_pairs(c("x"), 3)), ",").alias("pairs")))
 query("fn_drfp", head_sh + f"SELECT k, len(list_filter({GRAMS.format(x='x')}, lambda g: NOT list_contains({GRAMS.format(x='y')}, g))) + len(list_filter({GRAMS.format(x='y')}, lambda g: NOT list_contains({GRAMS.format(x='x')}, g))) AS n FROM i")(
     lambda t: rows_sh(t).select("k", F.size(V.set_difference_both(V.shingles(c("x"), 3), V.shingles(c("y"), 3))).cast("long").alias("n")))
 #: A sequence against a stretch of itself, whole or with one letter in the middle that it does not have: the best alignment is known.
@@ -107,13 +108,9 @@ NAMES = f"g AS (SELECT p_name AS key, count(*) AS n, {GRAMS.format(x='p_name')}
 
 
 def shingle_sims(df, key, n):
-    """Largest Tanimoto of shingle sets over an index of shingles: keys that share none have 0, and only those that share one meet."""
-    own = df.select(key, V.shingles(c(key), n).alias("_s"))
-    sized = own.select(key, F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
-    other = sized.select(c(key).alias("_o"), c("_n").alias("_m"), "_g")
-    both = sized.join(other, "_g").filter(c(key) != c("_o")).groupBy(key, "_o", "_n", "_m").agg(F.count("*").alias("_b"))
-    best = both.groupBy(key).agg(F.max(c("_b") / (c("_n") + c("_m") - c("_b"))).alias("sim"))
-    return df.join(best, key, "left").withColumn("sim", F.round(F.coalesce("sim", F.lit(0.0)), 9))
+    """Largest Tanimoto of shingle sets, all keys against all in blocks."""
+    sets = df.select(key, F.array_distinct(F.transform(V.shingles(c(key), n), lambda g: F.xxhash64(g))).alias("s"))
+    return df.join(V.max_set_similarity(sets, key, "s").withColumn("sim", F.round("sim", 9)), key)
 
 
 query("spl_molecule_tanimoto", f"WITH RECURSIVE {NAMES}{split_sql(0.5, kind='VARCHAR', may='length(key) >= 9')}")(

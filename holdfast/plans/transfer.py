@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.functions.vectors import PRODUCTS, block_rows, in_blocks, matrix_of, unit_rows
+from holdfast.sources.shared import written
 
-def best_hits(queries: DataFrame, train: DataFrame, block: int = 2048) -> DataFrame:
+
+def best_hits(queries: DataFrame, train: DataFrame, block: int | None = None) -> DataFrame:
     """query, label, score: the best cosine of each query to each label of train. Both have id, label, v.
 
-    Queries against all training rows, in blocks: a task multiplies a block of each and
-    gives a row for each of its queries and labels, never one for each pair.
+    All queries against all training rows, in blocks of training rows that are broadcast
+    one after the other: a task multiplies its queries with the block where they lie and
+    gives a row for each query and label of the block, never one for each pair; vectors
+    are not shuffled. block: rows of a block, by default what fits a bound in bytes.
     """
-    blocks = [max(1, -(-df.count() // block)) for df in (queries, train)]
-    deal = lambda df, n: df.withColumn("_n", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    a = deal(queries, blocks[0]).withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1)))).select("id", "label", "v", F.col("_n").alias("_q"), F.col("_m").alias("_t"), F.lit(True).alias("_a"))
-    b = deal(train, blocks[1]).withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1)))).select("id", "label", "v", F.col("_m").alias("_q"), F.col("_n").alias("_t"), F.lit(False).alias("_a"))
-
-    def unit(rows: pd.Series) -> np.ndarray:
-        x = np.stack(rows.to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm < 1e-10, 1.0, norm)
-
-    def product(frame: pd.DataFrame) -> pd.DataFrame:
-        q, t = frame[frame["_a"]], frame[~frame["_a"]].sort_values("label")
-        if q.empty or t.empty:
-            return pd.DataFrame({"query": [], "label": [], "score": []}).astype({"query": "int64", "label": "object", "score": "float64"})
-        labels, first = np.unique(t["label"].to_numpy(dtype=object), return_index=True)
-        best = np.maximum.reduceat(unit(q["v"]) @ unit(t["v"]).T, first, axis=1)
-        return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), len(labels)), "label": np.tile(labels, len(q)), "score": best.ravel()})
-
-    parts = a.unionByName(b).groupBy("_q", "_t").applyInPandas(product, "query long, label string, score double")
-    return parts.groupBy("query", "label").agg(F.max("score").alias("score"))
+    rows = written(train.select("id", "label", F.col("v").cast("array<double>").alias("v")), "train")
+    asked = written(queries.select(F.col("id").cast("long").alias("query"), F.col("v").cast("array<double>").alias("v")), "queries")
+    parts = []
+    for table in in_blocks(rows, "id", block or block_rows(rows, "v")):
+        if not len(table):
+            continue
+        table = table.sort_by("label")
+        labels, first = np.unique(np.array(table.column("label").to_pylist(), object), return_index=True)
+        shared = rows.sparkSession.sparkContext.broadcast((labels, first, unit_rows(matrix_of(table.column("v")))))
+
+        def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            labels, first, y = shared.value
+            for batch in batches:
+                x, ids = unit_rows(matrix_of(batch.column("v"))), batch.column("query").to_numpy()
+                step = max(1, PRODUCTS // len(y))
+                for lo in range(0, len(x), step):
+                    best = np.maximum.reduceat(x[lo : lo + step] @ y.T, first, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + step], len(labels))), pa.array(np.tile(labels, len(best)), pa.string()), pa.array(best.ravel())], names=["query", "label", "score"])
+
+        parts.append(asked.mapInArrow(multiply, "query long, label string, score double"))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "query long, label string, score double")
+    return reduce(DataFrame.unionByName, parts).groupBy("query", "label").agg(F.max("score").alias("score"))
 
 
 def wide_ranks(ranked: DataFrame, depth: int) -> DataFrame:

@@ -96,7 +96,8 @@ def in_blocks(rows: DataFrame, key: str, size: int) -> Iterator[pa.Table]:
 def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of equal length as a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def unit_rows(x: np.ndarray, least: float = 1e-10) -> np.ndarray:

@@ -115,7 +115,9 @@ def fit_ratio(labelled: DataFrame) -> DataFrame:
 def scores(urls: DataFrame, ratio: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per distinct url: url, and the mean log ratio over its characters as score; those without characters are left out."""
     brought = F.broadcast(ratio) if ratio.count() <= broadcast_rows else joinable(ratio)
-    chars = urls.select("url").distinct().withColumn("chars", chars_of(F.col("url")))
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = urls.select("url").distinct().repartition(tasks)  # URLs are small, but each becomes hundreds of strings: AQE would put them into few tasks
+    chars = spread.withColumn("chars", chars_of(F.col("url")))
     strings = chars.select("url", (F.size("chars") - 1).alias("n"), F.explode(strings_of(F.col("chars"))).alias("s"))
     sums = strings.join(brought, "s", "left").groupBy("url").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"), F.max("n").alias("n"))
     each = ratio.filter("s = ''").agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))

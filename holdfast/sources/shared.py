@@ -65,6 +65,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.mkdirs(where)
+
+
 def sizes(spark: SparkSession, path: str, suffix: str) -> list[int]:
     """Bytes of the files in a folder whose names end so."""
     fs, where = _fs(spark, path)

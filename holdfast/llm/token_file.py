@@ -15,6 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import scratch, table
 from holdfast.llm.tokens import encoder, tokenizer_path
+from holdfast.sources.shared import make_folder, read_json, write_json
 
 # Fixed values of the public zstd formats.
 INDEX_MAGIC = 0x184D2A5D
@@ -39,17 +41,28 @@ FRAME_BYTES = 1 << 18
 DOCS_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+#: Schemes of Hadoop's file systems, and what pyarrow calls the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
+
+
+def worker_uri(path: str) -> str:
+    """A path as pyarrow names it."""
+    scheme, mark, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else path
+
+
 def open_at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it, on a worker: files, HDFS, S3, GCS and Azure by their URIs as Spark writes them. Files must lie in a folder that all executors see."""
+    path = worker_uri(path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith(("/", "file:")) else (fs.LocalFileSystem(), path)
 
 
 def write_file(path: str, docs: Iterable[tuple[int | None, bytes]], frame_bytes: int = FRAME_BYTES, level: int = 1) -> tuple[int, int]:
-    """docs: (doc_id, ids as bytes) in the order to keep. Written under another name and then renamed, so that a retried task leaves a whole file. Returns the numbers of documents and tokens."""
+    """docs: (doc_id, ids as bytes) in the order to keep. Returns the numbers of documents and tokens."""
     where, name = open_at(path)
-    part = f"{name}.{uuid.uuid4().hex}.part"
     press = zstandard.ZstdCompressor(level=level, write_content_size=True)
     table_, ids, counts, known = [], [], [], []
-    with where.open_output_stream(part) as out:
+    with where.open_output_stream(name) as out:
         held = bytearray()
 
         def flush() -> None:
@@ -71,7 +84,6 @@ def write_file(path: str, docs: Iterable[tuple[int | None, bytes]], frame_bytes:
         out.write(struct.pack("<III", INDEX_MAGIC, len(index) + 4, len(ids)) + index)
         body = b"".join(table_) + struct.pack("<IBI", len(table_), CHECKSUM_FLAG, SEEKABLE_MAGIC)
         out.write(struct.pack("<II", SEEK_MAGIC, len(body)) + body)
-    where.move(part, name)
     return len(ids), sum(counts)
 
 
@@ -130,13 +142,24 @@ class TokenFile:
         self.file.close()
 
 
-def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, frame_bytes: int = FRAME_BYTES) -> list[tuple[int, int, int]]:
-    """Write all documents, in ascending doc_id order over the files and inside each, and return (file number, documents, tokens) in order.
+@dataclass(frozen=True)
+class Written:
+    """A file of a folder, with its documents and tokens."""
+
+    name: str
+    docs: int
+    tokens: int
+
+
+def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, frame_bytes: int = FRAME_BYTES) -> list[Written]:
+    """Write all documents, in ascending doc_id order over the files and inside each, and return the files in order; the folder's files.json lists them too.
 
     documents: doc_id, text; other columns are not looked at. A null text counts as empty,
-    a null doc_id comes first, rows with equal doc_id are ordered by text, and equal rows
-    are all written. A very long text may span frames. Empty tables give no file or
-    files without documents. What comes to the driver is a row for each file.
+    a null doc_id comes first, rows with equal doc_id are ordered by a hash of the text and
+    the text (so that many of them are dealt over files), and equal rows are all written. A
+    very long text may span frames. Empty tables give no file or files without documents.
+    Every attempt of a task writes a file of its own name, and only those of the attempts
+    that Spark took are listed. What comes to the driver is a row for each file.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,24 +171,28 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                     yield doc_id, own.encode(text.as_py()) + end
 
-        n, tokens = write_file(f"{folder}/{number:08d}.tokens", docs(), frame_bytes)
-        yield pa.RecordBatch.from_pydict({"number": [number], "docs": [n], "tokens": [tokens]})
+        name = f"{number:08d}-{uuid.uuid4().hex}.tokens"
+        n, tokens = write_file(f"{folder}/{name}", docs(), frame_bytes)
+        yield pa.RecordBatch.from_pydict({"name": [name], "docs": [n], "tokens": [tokens]})
 
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = ordered.mapInArrow(write, "number long, docs long, tokens long").collect()
-    return sorted((r.number, r.docs, r.tokens) for r in rows)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    files = sorted((Written(r.name, r.docs, r.tokens) for r in ordered.mapInArrow(write, "name string, docs long, tokens long").collect()), key=lambda f: f.name)
+    write_json(documents.sparkSession, f"{folder}/files.json", {"files": [asdict(f) for f in files]})
+    return files
 
 
-def read_token_files(spark: SparkSession, folder: str, files: list[tuple[int, int, int]]) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. One task for each file."""
-    bases = np.concatenate([[0], np.cumsum([t for _, _, t in files])]).astype(np.int64)
-    numbers = [n for n, _, _ in files]
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document, from the files that the folder's files.json lists: doc_id, start, n_tokens, ids_crc32. One task for each file."""
+    files = [Written(**f) for f in read_json(spark, f"{folder}/files.json")["files"]]
+    bases = np.concatenate([[0], np.cumsum([f.tokens for f in files])]).astype(np.int64)
+    names = [f.name for f in files]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k in frame["id"]:
-                got = TokenFile(f"{folder}/{numbers[k]:08d}.tokens")
+                got = TokenFile(f"{folder}/{names[k]}")
                 for lo in range(0, len(got.ids), 10_000):
                     span = range(lo, min(lo + 10_000, len(got.ids)))
                     crcs = []
@@ -186,7 +213,6 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[int, in
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
-    where, name = open_at(folder)
-    where.create_dir(name)
-    files = write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
-    return read_token_files(spark, folder, files)
+    make_folder(spark, folder)
+    write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
+    return read_token_files(spark, folder)

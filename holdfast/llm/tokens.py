@@ -2,11 +2,14 @@
 
 The tokenizer drops white space before it merges, and neither its normaliser nor its
 added tokens look across white space, so the ids of a text are the ids of its chunks in
-order. Chunks are kept in a memo of bounded size; what is not in it goes to the library.
+order. That is read from the tokenizer's own file when it is loaded: a tokenizer with
+another normaliser, other pieces or other kinds of added tokens encodes whole texts.
+Chunks are kept in a memo of bounded size; what is not in it goes to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -18,6 +21,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The parts of a tokenizer's file with which chunks give a text's ids.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def chunks_give_ids(file: dict) -> bool:
+    """Whether a tokenizer's file has the parts that `ChunkEncoder` relies on: white space is dropped, nothing looks across it, and the model merges each piece by itself without chance."""
+    model, added = file["model"], file["added_tokens"]
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"]) or not t["content"].startswith("<") for t in added)
+    return (
+        plain and file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        and file["truncation"] is None and file["padding"] is None and model["type"] == "BPE" and not model["dropout"]
+    )
+
+
 class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit integers. memo: chunks kept at most, twice that for a moment.
 
@@ -36,6 +55,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
+        self.by_chunks = chunks_give_ids(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.raw = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.young: dict[bytes, bytes] = {}
@@ -60,6 +80,8 @@ class ChunkEncoder:
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
+        if not self.by_chunks:
+            return b"".join([self.raw[i] for i in self.tokenizer.encode(text or "", add_special_tokens=False).ids])
         chunks = (text or "").encode("utf-8").split()
         young, old, plain = self.young, self.old, self.PLAIN.fullmatch
         missing, brief = [], []

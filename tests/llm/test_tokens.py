@@ -1,5 +1,6 @@
 """Token operators against the libraries, whole text by whole text."""
 
+import json
 import random
 import struct
 import zlib
@@ -8,13 +9,15 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from holdfast.llm.common import scratch
 from holdfast.llm.packing import pack, plan
 from holdfast.llm.token_count import PieceCounter, token_counts
-from holdfast.llm.token_file import TokenFile, read_token_files, write_token_files
-from holdfast.llm.tokens import ChunkEncoder, tokenizer_path
+from holdfast.llm.token_file import TokenFile, read_token_files, worker_uri, write_file, write_token_files
+from holdfast.llm.tokens import ChunkEncoder, chunks_give_ids, tokenizer_path
+from holdfast.sources.shared import make_folder
 
 WORDS, PIECES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("piece_bpe_32k.model")
 TEXTS = [
@@ -62,29 +65,59 @@ def test_token_counts(documents):
 
 def test_token_files(spark, documents):
     folder = scratch(spark, "t")
-    from holdfast.llm.token_file import open_at
-
-    where, name = open_at(folder)
-    where.create_dir(name)
+    make_folder(spark, folder)
     files = write_token_files(documents, folder, WORDS, 2, frame_bytes=256)
-    got = sorted(read_token_files(spark, folder, files).collect(), key=lambda r: r.start)
+    write_file(f"{folder}/00000000-lost-attempt.tokens", [(1, b"\1\0\0\0")])  # what a lost attempt leaves is not read
+    got = sorted(read_token_files(spark, folder).collect(), key=lambda r: r.start)
     start, want = 0, []
-    for r in sorted(documents.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")):
+    rows = documents.withColumn("h", F.xxhash64("text")).collect()
+    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text is not None, r.text or "")):
         ids = whole_ids(r.text, 2)
         want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert [tuple(r) for r in got] == want
-    n, docs, _ = max(files, key=lambda f: f[1])
-    file = TokenFile(f"{folder}/{n:08d}.tokens")
+    file = TokenFile(f"{folder}/{max(files, key=lambda f: f.docs).name}")
     i = int(file.ids[-1])
     found = file.find([i])
     assert found[i].tolist() == whole_ids(TEXTS[i], 2) and file.frames_read <= 2 < len(file.sums)
-    assert read_token_files(spark, folder, write_token_files(documents.limit(0), folder, WORDS)).count() == 0
+    empty = scratch(spark, "t")
+    make_folder(spark, empty)
+    write_token_files(documents.limit(0), empty, WORDS)
+    assert read_token_files(spark, empty).count() == 0
 
 
-def test_damaged_frames_are_found(spark, tmp_path):
-    from holdfast.llm.token_file import write_file
+def test_rows_of_one_id_are_dealt_over_files(spark):
+    folder = scratch(spark, "t")
+    make_folder(spark, folder)
+    df = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = write_token_files(df, folder, WORDS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(f.docs > 0 for f in files) > 1 and read_token_files(spark, folder).filter("doc_id is null").count() == 400
+
+
+def test_stores_by_the_names_of_hadoop():
+    paths = ["s3a://b/x", "s3n://b/x", "hdfs://h:8020/x", "file:///x", "abfs://c@a/x", "/x", "x"]
+    assert [worker_uri(p) for p in paths] == ["s3://b/x", "s3://b/x", "hdfs://h:8020/x", "file:///x", "abfss://c@a/x", "/x", "x"]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """The guard holds for the file that chunks were made for, and for no other one; those still give the library's ids."""
+    file = json.loads(Tokenizer.from_file(WORDS).to_str())
+    assert chunks_give_ids(file) and ChunkEncoder(WORDS).by_chunks
+    file["normalizer"]["normalizers"] = file["normalizer"]["normalizers"][:2]
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    other, own = Tokenizer.from_file(str(tmp_path / "other.json")), ChunkEncoder(str(tmp_path / "other.json"))
+    bytes_ = ChunkEncoder(tokenizer_path("byte_bpe_50k.json"))
+    assert not own.by_chunks and not bytes_.by_chunks
+    for text in [t for t in TEXTS if t]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(bytes_.encode(text), "<u4").tolist() == bytes_.tokenizer.encode(text, add_special_tokens=False).ids
 
+
+def test_damaged_frames_are_found(spark, tmp_path):
     path = str(tmp_path / "x.tokens")
     write_file(path, [(1, struct.pack("<4I", 1, 2, 3, 4)), (None, b""), (7, b"\1\0\0\0" * 100)], 64)
     file = TokenFile(path)
@@ -118,7 +151,7 @@ def test_plan_places_every_rank_once(seed):
 
 
 def test_pack(documents):
-    got = pack(documents, WORDS, 64, 1, 8).collect()
+    got = pack(documents, WORDS, 64, 1, 3).collect()
     want = []
     for r in documents.collect():
         ids = whole_ids(r.text, 1)

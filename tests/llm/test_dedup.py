@@ -205,19 +205,39 @@ def test_near_copies_within_a_large_loose_group(spark):
     assert got == want and 20 <= len(want) <= 40
 
 
-def test_blocks_of_a_group_lose_no_link(spark):
+@pytest.mark.parametrize("templates", [1, 4])
+def test_blocks_of_a_group_lose_no_link(spark, templates):
     rng = random.Random(14)
-    base = fresh_words(rng, 200)
-    grams = [np.unique(np.array([hash(tuple(w[i : i + 5])) for i in range(196)], np.int64)) for w in (changed(rng, base, rng.randint(3, 8)) for _ in range(60))]
+    bases = [fresh_words(rng, 200) for _ in range(templates)]
+    for other in bases[1:]:
+        other[:60] = bases[0][:60]  # a passage that joins the templates to one group
+    texts = [changed(rng, bases[k % templates], rng.randint(2, 8 if templates == 1 else 5)) for k in range(60)]
+    grams = [np.unique(np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(196)], np.uint64).view(np.int64)) for w in texts]
     alike = lambda i, j: len(np.intersect1d(grams[i], grams[j])) >= 0.8 * len(np.union1d(grams[i], grams[j]))
     want = groups_of(range(60), alike)
     df = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(grams)], "node long, grams array<long>")
+    filed = near_copies.rarest(df, 0.8).cache()
+    groups = near_copies.grouped(filed)
     for cap in (1024, 7, 1):
-        edges = [(r.u, r.v) for r in near_copies.verified_links(df, df.selectExpr("node", "0L as root"), 0.8, cap).collect()]
+        edges = {(r.u, r.v) for r in near_copies.verified_links(filed, groups, df, 0.8, cap).collect()}
         assert all(alike(u, v) for u, v in edges)
         assert groups_of(range(60), lambda a, b: (a, b) in edges or (b, a) in edges) == want and 1 < len(set(want)) < 60
 
 
+def test_lists_hold_few_rows_and_all_pairs(spark):
+    rng = random.Random(16)
+    rows = [(1, n, 0) for n in range(50)] + [(1, n, n) for n in range(50, 60)] + [(2, n, 7) for n in range(30)] + [(3, n, n // 9) for n in range(40)]
+    rng.shuffle(rows)
+    got: dict = {}
+    for r in near_copies.dealt_lists(spark.createDataFrame(rows, "h int, node long, comp long"), 8).collect():
+        got.setdefault(r.key, []).append((r.own, r.node))
+    met = {frozenset((a, b)) for own in got.values() for (x, a), (y, b) in itertools.combinations(own, 2) if x != y or len({z for z, _ in own}) == 1}
+    for h in (1, 3):
+        own = [(n, c) for k, n, c in rows if k == h]
+        assert all(frozenset((a, b)) in met for (a, x), (b, y) in itertools.combinations(own, 2) if x != y)
+    assert max(map(len, got.values())) <= 40 and sum(map(len, got.values())) < 6 * len(rows)
+
+
 def test_recall_by_band_of_similarity(spark):
     rng = random.Random(11)
     texts, bands = [], {}

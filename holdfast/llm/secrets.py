@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain as joined
 from operator import ne
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,6 @@ CASES = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LETTERS = re.compile(r"[^\W\d_]+")
 CONSONANTS = re.compile(r"[^\W\d_aeiouyàâäáãåèéêëíìîïóòôöõúùûüœæø]+")
 HEXED = frozenset("0123456789abcdefABCDEF-")
-CLASSES = str.maketrans(string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_", "A" * 26 + "a" * 26 + "0" * 10 + "---")
 LENGTHS = (6, 8, 12, 16, 20, 28)
 TIMES_LOG = [0.0, *[k * math.log2(k) for k in range(1, 4097)]]
 
@@ -88,15 +88,19 @@ def is_key(token: str) -> bool:
     return ANY_KEY.search(token.lower()) is not None and any(x.lower() in KEYS for x in LETTERS.findall(CASES.sub(" ", token)))
 
 
-def classes_of(token: str) -> str:
-    """A for an upper-case letter, a for other letters, 0 for a digit, - for + / - _ and others."""
-    if token.isascii():
-        return token.translate(CLASSES)
-    return "".join("A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else "-" for c in token)
+class Classes(dict):
+    """For str.translate: A for an upper-case letter, a for other letters, 0 for a digit, - for + / - _ and others."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else "-"
+        return self[code]
 
-@dataclass(frozen=True, slots=True)
-class Facts:
+
+CLASSES = Classes()
+
+
+class Facts(NamedTuple):
     """What the names of a token are made from: its kinds of characters, whether it is a key word, its word if it is short, and the rounded measures of its shape."""
 
     kinds: str
@@ -128,7 +132,7 @@ MEASURES = ("entropy", "digits", "changes", "vowels", "run", "dashes", "hex")
 
 
 def facts_of(token: str) -> Facts:
-    n, classes, chars, lower = len(token), classes_of(token), set(token), token.lower()
+    n, classes, chars, lower = len(token), token.translate(CLASSES), set(token), token.lower()
     kinds = "".join(sorted(set(classes))) + ("" if token.isascii() else "u")
     counts = map(token.count, chars)
     entropy = math.log2(n) - sum(map(TIMES_LOG.__getitem__, counts)) / n if n <= 4096 else math.log2(len(chars))

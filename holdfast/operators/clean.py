@@ -43,9 +43,19 @@ def numeric_label(x: Column) -> Column:
     return x.rlike(r"^\d+\.\d+\.\d+\.\d+$")
 
 
-def tiny(x: Column, least: int = 4) -> Column:
-    """Few characters, or no letter o: the stand-in for a molecule of few heavy atoms or without carbon. Null is not tiny."""
-    return F.coalesce((F.char_length(x) < least) | ~F.contains(x, F.lit("o")), F.lit(False))
+#: Fixed values of the SMILES notation: an atom in brackets or of the organic subset, and all that a line may hold.
+ATOM = r"\[[0-9]*(?:[A-Z][a-z]?|[a-z]{1,2}|\*)[^\]\[]*\]|Br|Cl|[BCNOPSFI]|[bcnops]|\*"
+LINE = rf"^(?:{ATOM}|[-=#$:/\\().~]|%[0-9][0-9]|[0-9])+$"
+
+
+def tiny(x: Column, most: int = 3) -> Column:
+    """A molecule in SMILES notation with at most `most` heavy atoms, or without carbon. Atoms are read from the notation; null, and a text that is not in it, is not tiny."""
+    atoms = F.regexp_extract_all(x, F.lit(f"({ATOM})"), F.lit(1))
+    symbols = F.transform(atoms, lambda a: F.regexp_extract(a, r"^\[?[0-9]*([A-Z][a-z]?|[a-z]{1,2}|\*)", 1))
+    opened, closed = F.regexp_count(x, F.lit(r"\(")), F.regexp_count(x, F.lit(r"\)"))
+    heavy = F.filter(symbols, lambda s: s != "H")
+    carbon = F.exists(symbols, lambda s: s.isin("C", "c"))
+    return F.coalesce(x.rlike(LINE) & (opened == closed) & ((F.size(heavy) <= most) | ~carbon), F.lit(False))
 
 
 def low_confidence(x: Column, least: float) -> Column:

@@ -40,8 +40,10 @@ query("flt_full_label", head_l + "SELECT k, x FROM i WHERE NOT contains(x, '-')
 query("flt_numeric_label", head_l + r"SELECT k, x FROM i WHERE regexp_full_match(x, '\d+\.\d+\.\d+\.\d+')")(lambda t: rows_l(t).filter(C.numeric_label(c("x"))))
 query("flt_partial_label_drop", head_l + "SELECT k, x FROM i WHERE NOT contains(x, '-') AND split_part(x, '.', 1)::INT BETWEEN 1 AND 7")(
     lambda t: rows_l(t).filter(~F.contains("x", F.lit("-")) & F.split_part("x", F.lit("."), F.lit(1)).try_cast("int").between(1, 7)))
-query("flt_tiny", "SELECT p_partkey AS k, p_name AS x FROM part WHERE NOT (length(p_name) < 8 OR NOT contains(p_name, 'o'))")(
-    lambda t: t.part.select(c("p_partkey").alias("k"), c("p_name").alias("x")).filter(~C.tiny(c("x"), 8)))
+#: Molecules of which it is known whether they are small or inorganic.
+MOLECULES = "(VALUES (0, 'O', true), (1, 'CCO', true), (2, 'CCCC', false), (3, '[Na+].[Cl-]', true), (4, 'c1ccccc1', false), (5, 'OS(=O)(=O)O', true), (6, 'not a molecule', false), (7, 'C[C@H](N)C(=O)O', false), (8, 'ClC(Cl)(Cl)Cl', false), (9, '[2H]O[2H]', true), (10, 'C(C', false), (11, NULL, false), (12, 'O=[Si]=O', true), (13, 'N[C@@H](C)C(Br)=O', false)) m(i, x, tiny)"
+query("flt_tiny", f"SELECT p_partkey AS k, x FROM part JOIN {MOLECULES} ON i = p_partkey % 14 WHERE NOT tiny")(
+    lambda t: t.part.join(F.broadcast(t.spark.sql(f"SELECT i, x FROM {MOLECULES}")), c("p_partkey") % 14 == c("i")).select(c("p_partkey").alias("k"), "x").filter(~C.tiny(c("x"))))
 query("flt_has_any", "WITH m AS (SELECT l_partkey, max(l_shipdate) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT p_partkey AS k FROM part LEFT JOIN m ON p_partkey = l_partkey WHERE coalesce(CASE WHEN p_size % 2 = 0 THEN p_brand END, d::VARCHAR) IS NOT NULL")(
     lambda t: t.part.join(t.lineitem.filter("l_returnflag = 'R'").groupBy("l_partkey").agg(F.max("l_shipdate").cast("string").alias("d")), c("p_partkey") == c("l_partkey"), "left")
     .filter(F.coalesce(F.when(c("p_size") % 2 == 0, c("p_brand")), c("d")).isNotNull()).select(c("p_partkey").alias("k")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
+    """A new path in the shared folder, removed by `clear` or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     atexit.register(_drop, spark, path)
     return path
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch paths made so far. For a long session, once the results that read them are written."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and its lineage cut, so that a lost executor costs a reread."""
     path = scratch(df.sparkSession, name)

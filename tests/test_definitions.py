@@ -512,6 +512,14 @@ def test_files_are_replaced_whole(spark):
     assert shared.children(spark, path.rsplit("/", 1)[0]) == ["x.json"]
 
 
+def test_scratch_is_cleared(spark):
+    path = shared.scratch(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert shared.exists(spark, path)
+    shared.clear(spark)
+    assert not shared.exists(spark, path)
+
+
 def test_no_machine_local_folder_on_a_cluster(spark):
     class Conf:
         get = staticmethod(lambda key, default=None: default)

@@ -76,7 +76,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
 
 def cut_repeated_lines(documents: DataFrame) -> DataFrame:
-    """The documents with their texts cut, n_chars counted anew where it is a column, and without those that lost every line with a word."""
+    """The documents with their texts cut, n_chars counted anew where it is a column, and without those that lost every line with a word. Other columns stay as they are, whatever they are called; nulls, ties and empty tables as in `dedup_lines`."""
     cut, total, removed, left = (fresh(documents, c) for c in ("_cut", "_n_lines", "_n_removed", "_n_left"))
     found = with_cut_text(documents, cut, total, removed, left)
     found = found.filter((F.col(removed) == 0) | (F.col(left) > 0))

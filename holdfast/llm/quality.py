@@ -220,14 +220,20 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> list[Rul
 
 
 def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Per row: doc_id, the base statistics, base_failed, kept. A null text has no words and fails; a null doc_id stays null; repeated rows each give a row."""
+    """Per row: doc_id, the base statistics, base_failed, kept. No shuffle.
+
+    documents: doc_id, text; other columns, of whatever name, are not looked at. A null or
+    empty text has no words and fails; a null doc_id stays null; repeated rows each give a
+    row; texts are read whole; an empty table gives no rows. Without rules only the base
+    decides.
+    """
     found = with_statistics(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "s")
     failed = base_failed(F.col("s"))
     return found.select("doc_id", *[F.col("s")[k].alias(k) for k in BASE], failed.alias("base_failed"), (~failed & verdict(rules, F.col("s"))).alias("kept"))
 
 
 def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows that are kept, with their columns as they were, whatever these are called."""
+    """The rows that are kept, with their columns as they were, whatever these are called. Nulls, repeats and empty tables as in `judge`."""
     s = fresh(documents, "_statistics")
     found = with_statistics(documents, "text", s)
     return found.filter(~base_failed(F.col(s)) & verdict(rules, F.col(s))).drop(s)

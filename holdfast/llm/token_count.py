@@ -91,7 +91,8 @@ def token_counts(documents: DataFrame, model: str, limit: int = 4096) -> DataFra
     """Per row: doc_id, n_bytes, n_tokens, over_limit. No shuffle.
 
     A null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated
-    rows each give a row; other columns are not looked at; texts are read whole.
+    rows each give a row; other columns are not looked at; texts are read whole; an empty
+    table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

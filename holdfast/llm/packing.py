@@ -25,6 +25,7 @@ from holdfast.llm.common import table, written
 from holdfast.llm.tokens import encoder, tokenizer_path
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+MOST_GROUPS = 400_000
 PIECE_COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
@@ -132,17 +133,20 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE_SCHEMA)
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, group: int = 1 << 17) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, group: int = 512) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     documents: doc_id, text; other columns are not looked at. A null text counts as empty
     and gives the end id alone; a null doc_id is kept; repeated rows are packed each.
     An empty table gives no rows. Pieces of one length are ranked in groups of some `group`
-    rows, as many as its count asks for, so no task ranks more; the driver gets a count
-    for each length (capacity at most) and each group.
+    rows, as many as its count asks for, so a frequent length is dealt over tasks; where
+    that would be more than MOST_GROUPS in all, groups are larger, so that the driver gets
+    no more counts than that and one for each length (capacity at most).
     """
     found = written(pieces(documents, tokenizer, capacity, end_id), "pieces")
-    lengths = [(r["length"], -(-r["count"] // group)) for r in found.groupBy("length").count().collect()]
+    lengths = found.groupBy("length").count().collect()
+    group = max(group, sum(r["count"] for r in lengths) // MOST_GROUPS)
+    lengths = [(r["length"], -(-r["count"] // group)) for r in lengths]
     salts = F.broadcast(documents.sparkSession.createDataFrame(sorted(lengths), "length long, _salts long"))  # capacity rows at most
     found = found.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int")).select(*PIECE_COLUMNS, "salt")
     counts = found.groupBy("length", "salt").count().collect()

@@ -183,3 +183,17 @@ def _(t):
 
 query("nn_wide_rank_cols", HITS + " SELECT query, max(label) FILTER (rank = 1) AS c0, max(label) FILTER (rank = 2) AS c1, max(label) FILTER (rank = 11) AS c10 FROM r GROUP BY 1")(
     lambda t: __import__("holdfast.plans.transfer", fromlist=["x"]).wide_ranks(transferred(t)[1], 20).select("query", "c0", "c1", "c10"))
+
+# Sequence search: stretches of eight letters as seeds, so a query of eight letters hits what holds it
+SEARCHED = "SELECT q.k::VARCHAR AS query, t.p_name AS target, 1.0::DOUBLE AS identity, 1.0::DOUBLE AS coverage FROM (SELECT p_partkey AS k, substr(p_name, 2, 8) AS x FROM part WHERE p_partkey % 5 = 0 AND length(p_name) > 8) q JOIN (SELECT DISTINCT p_name FROM part) t ON contains(t.p_name, q.x)"
+
+
+def searched(t, block):
+    from holdfast.operators.search import sequence_hits
+
+    queries = t.part.filter("p_partkey % 5 = 0 AND length(p_name) > 8").select(c("p_partkey").alias("id"), F.substring("p_name", 2, 8).alias("sequence"))
+    return sequence_hits(queries, t.part.select(c("p_name").alias("id"), c("p_name").alias("sequence")).distinct(), 8, 1, 0.9, 0.9, block)
+
+
+query("nn_search_seq", SEARCHED)(lambda t: searched(t, None))
+query("nn_chunked_search", SEARCHED)(lambda t: searched(t, 16))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import align, keys, records, vectors
-from holdfast.operators import aggregates, clean, metrics, runs, selection, store, structures
+from holdfast.operators import aggregates, clean, metrics, runs, search, selection, store, structures
 from holdfast.plans import splits, transfer
 from holdfast.sources import io, shared
 
@@ -403,6 +403,27 @@ def test_alignment():
     assert align.identity_and_coverage("", "A") == align.identity_and_coverage("A", "") == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("block", [None, 7, 1])
+def test_sequence_hits(spark, block):
+    rng = random.Random(20)
+    base = ["".join(rng.choices("ACDE", k=rng.randint(1, 25))) for _ in range(6)]
+    cut = lambda s: s[rng.randint(0, len(s) // 3) :] + "".join(rng.choices("ACDE", k=rng.randint(0, 4)))
+    targets = [(f"t{i}", cut(rng.choice(base))) for i in range(20)] + [("none", None), ("blank", "")]
+    queries = [(f"q{i}", cut(rng.choice(base))) for i in range(12)] + [("q0", "ACDEACDE"), ("none", None)]
+    grams = lambda s: {s[i : i + 4] for i in range(len(s) - 3)} or {s}
+    want = Counter()
+    for q, a in queries:
+        for t, b in targets:
+            if a and b and len(grams(a) & grams(b)) >= 2:
+                _, equal, pairs = aligned(a, b)
+                if pairs and equal / -pairs >= 0.6 and -pairs / len(a) >= 0.5:
+                    want[q, t, round(equal / -pairs, 9), round(-pairs / len(a), 9)] += 1
+    df = lambda rows: frame(spark, rows, "id string, sequence string").repartition(3)
+    got = search.sequence_hits(df(queries), df(targets), 4, 2, 0.6, 0.5, block)
+    assert Counter((r.query, r.target, round(r.identity, 9), round(r.coverage, 9)) for r in got.collect()) == want and len(want) > 10
+    assert search.sequence_hits(df(queries), df(targets).limit(0), block=block).count() == 0
+
+
 def test_article_records(spark):
     one = '<S><PubmedArticle><MedlineCitation><Article><ArticleTitle>On &lt;x&gt;</ArticleTitle><Abstract><AbstractText Label="A">first</AbstractText></Abstract></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="pii">z</ArticleId><ArticleId IdType="doi">10/1</ArticleId></ArticleIdList></PubmedData></PubmedArticle></S>'
     rows = [one.replace(' Label="A"', ""), "<S></S>", "<S><PubmedArticle></S>", "", None, "<S><PubmedArticle/></S>"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.records import article_records
@@ -59,16 +62,27 @@ query("px_keep_reject", head_ln + f", r AS (SELECT {REASON} AS reason FROM i) SE
     lambda t: io.parse_lines(rows_ln(t)).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")))
 
 
+SPLIT_OF = "['train', 'val', 'test'][o_orderkey % 3 + 1]"
+
+
 def named_splits(t):
-    path = shared.scratch(t.spark, "splits") + "/random"
-    io.write_named_splits(t.orders.select("o_orderkey", F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (c("o_orderkey") % 3 + 1).cast("int")).alias("split")), path, {"seed": 42})
-    return path
+    """A folder for each order status, the first of them under a threshold: its splits and, as stats, its rows."""
+    root, marked = shared.scratch(t.spark, "splits"), t.orders.select("o_orderkey", "o_orderstatus", F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (c("o_orderkey") % 3 + 1).cast("int")).alias("split"))
+    for name in sorted(r[0] for r in t.orders.select("o_orderstatus").distinct().collect()):
+        own = marked.filter(c("o_orderstatus") == name).drop("o_orderstatus")
+        io.write_named_splits(own, f"{root}/{name}" if name != "F" else f"{root}/F/threshold_0.5", {"rows": own.count()})
+    return root
 
 
-query("src_file_discovery", "SELECT 'random' AS name")(lambda t: t.spark.createDataFrame([(x,) for x in io.find_splits(t.spark, named_splits(t).rsplit("/", 1)[0])], "name string"))
-query("dm_split_resolve", "SELECT true AS ok")(lambda t: (lambda p: t.spark.createDataFrame([(io.resolve_split(t.spark, p) == p,)], "ok boolean"))(named_splits(t)))
-query("snk_named_splits", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1")(lambda t: t.spark.read.parquet(named_splits(t) + "/val.parquet"))
-query("snk_manifest", "SELECT 42 AS seed")(lambda t: t.spark.createDataFrame([(shared.read_json(t.spark, named_splits(t) + "/stats.json")["seed"],)], "seed int"))
+STATUSES = "(SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1)"
+AT = "CASE WHEN status = 'F' THEN 'F/threshold_0.5' ELSE status END"
+query("src_file_discovery", f"SELECT {AT} AS name FROM {STATUSES}")(lambda t: t.spark.createDataFrame([(x,) for x in io.find_splits(t.spark, named_splits(t))], "name string"))
+query("dm_split_resolve", f"SELECT status, {AT} AS name FROM {STATUSES}")(
+    lambda t: (lambda root: t.spark.createDataFrame([(x, io.resolve_split(t.spark, f"{root}/{x}")[len(root) + 1 :]) for x in shared.children(t.spark, root)], "status string, name string"))(named_splits(t)))
+query("snk_named_splits", f"SELECT {AT} AS name, o_orderkey, {SPLIT_OF} AS split FROM (SELECT *, o_orderstatus AS status FROM orders)")(
+    lambda t: (lambda root: reduce(DataFrame.unionByName, [t.spark.read.parquet(f"{root}/{x}/{s}.parquet").select(F.lit(x).alias("name"), "o_orderkey", F.lit(s).alias("split")) for x in io.find_splits(t.spark, root) for s in ("train", "val", "test")]))(named_splits(t)))
+query("snk_manifest", f"SELECT {AT} AS name, n FROM {STATUSES}")(
+    lambda t: (lambda root: t.spark.createDataFrame([(x, shared.read_json(t.spark, f"{root}/{x}/stats.json")["rows"]) for x in io.find_splits(t.spark, root)], "name string, n long"))(named_splits(t)))
 
 
 def round_trip(t, df, partition_by=None):
@@ -82,14 +96,15 @@ query("snk_threshold_splits", "SELECT o_orderkey, o_orderkey % 2 AS threshold, o
     lambda t: round_trip(t, t.orders.select("o_orderkey", (c("o_orderkey") % 2).alias("threshold"), c("o_orderstatus").alias("split")), ["threshold", "split"]).withColumn("threshold", c("threshold").cast("long")))
 query("snk_unify_nulls", "SELECT c_custkey AS k, c_name AS v FROM customer UNION ALL SELECT s_suppkey, NULL FROM supplier")(
     lambda t: (lambda a, b: a.unionByName(b))(*io.unify_nulls([t.customer.select(c("c_custkey").alias("k"), c("c_name").alias("v")), t.supplier.select(c("s_suppkey").alias("k"), F.lit(None).alias("v"))])))
-query("snk_atomic", "SELECT 'second' AS text")(lambda t: t.spark.createDataFrame([(_rewritten(t),)], "text string"))
+query("snk_atomic", "SELECT count(*) || ' orders' AS text, 1::BIGINT AS files FROM orders")(lambda t: t.spark.createDataFrame([_rewritten(t)], "text string, files long"))
 
 
 def _rewritten(t):
-    path = shared.scratch(t.spark, "file") + "/x.txt"
-    shared.write_text(t.spark, path, "first")
-    shared.write_text(t.spark, path, "second")
-    return shared.read_text(t.spark, path)
+    """A file written twice: its text, and how many files that leaves."""
+    folder = shared.scratch(t.spark, "file")
+    shared.write_text(t.spark, f"{folder}/x.txt", "older")
+    shared.write_text(t.spark, f"{folder}/x.txt", f"{t.orders.count()} orders")
+    return shared.read_text(t.spark, f"{folder}/x.txt"), len(shared.children(t.spark, folder))
 
 
 query("snk_fasta_smi", "SELECT '>' || p_partkey || chr(10) || upper(replace(p_name, ' ', '')) AS line FROM part")(lambda t: t.part.select(io.fasta(c("p_partkey").cast("string"), F.upper(F.replace("p_name", F.lit(" "), F.lit("")))).alias("line")))

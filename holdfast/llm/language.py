@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,16 +118,16 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, of = np.unique(np.array(langs[at : at + len(texts)], object), return_inverse=True)
             at += len(texts)
             batch = Batch(texts)
-            pairs = [(own, buckets) for own, buckets in batch.grams()]
-            codes = np.concatenate([of[own] * (BUCKETS + 1) + buckets + 1 for own, buckets in pairs if len(own)] + [of[batch.lettered] * (BUCKETS + 1)])
-            in_text = np.concatenate([own for own, _ in pairs if len(own)] + [np.flatnonzero(batch.lettered)])
-            codes, n = np.unique(codes[batch.lettered[in_text]], return_counts=True)
-            for k, lang in enumerate(names):
-                lo, hi = np.searchsorted(codes, [k * (BUCKETS + 1), (k + 1) * (BUCKETS + 1)])
-                if lo < hi:
-                    sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[codes[lo:hi] - k * (BUCKETS + 1)] += n[lo:hi]
-                if len(sums) > HELD_LANGUAGES:
-                    yield from passed_on()
+            docs = np.flatnonzero(batch.lettered)
+            for own, buckets in chain([(docs, np.full(len(docs), -1))], batch.grams()):
+                live = batch.lettered[own]
+                codes, n = np.unique(of[own[live]] * (BUCKETS + 1) + buckets[live] + 1, return_counts=True)
+                cuts = np.searchsorted(codes, np.arange(len(names) + 1) * (BUCKETS + 1))
+                for k in np.flatnonzero(np.diff(cuts)):
+                    lo, hi = cuts[k], cuts[k + 1]
+                    sums.setdefault(names[k], np.zeros(BUCKETS + 1, np.int64))[codes[lo:hi] - k * (BUCKETS + 1)] += n[lo:hi]
+                    if len(sums) > HELD_LANGUAGES:
+                        yield from passed_on()
     yield from passed_on()
 
 

@@ -218,8 +218,8 @@ def test_blocks_of_a_group_lose_no_link(spark, templates):
     df = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(grams)], "node long, grams array<long>")
     filed = near_copies.rarest(df, 0.8).cache()
     groups = near_copies.grouped(filed)
-    for cap in (1024, 7, 1):
-        edges = {(r.u, r.v) for r in near_copies.verified_links(filed, groups, df, 0.8, cap).collect()}
+    for cap, whole in ((1024, 1024), (7, 1024), (7, 7), (1, 1)):
+        edges = {(r.u, r.v) for r in near_copies.verified_links(filed, groups, df, 0.8, cap, whole).collect()}
         assert all(alike(u, v) for u, v in edges)
         assert groups_of(range(60), lambda a, b: (a, b) in edges or (b, a) in edges) == want and 1 < len(set(want)) < 60
 

@@ -35,7 +35,7 @@ def test_shared_folder_without_the_setting():
 
     from holdfast.sources import shared
 
-    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="app-x"))
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(applicationId="app-x", master="local[4]"))
     assert shared.shared_dir(unset) == shared.shared_dir(unset) and shared.shared_dir(unset).startswith("file:///")
     given = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "hdfs://n/c/"), sparkContext=None)
     assert shared.shared_dir(given) == "hdfs://n/c"

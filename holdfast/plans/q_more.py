@@ -172,9 +172,9 @@ def _policies(t):
         for case, kind in (("partial", "max"), ("other", "min")):
             path = shared.scratch(t.spark, "features")
             S.materialized(keys, "key", path, lambda: whole().filter("v % 3 = 0"), kind="max")
-            found = S.materialized(keys, "key", path, whole, policy, kind=kind).agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("v")).withColumns({"policy": F.lit(policy), "found": F.lit(case)})
+            found = S.materialized(keys, "key", path, whole, policy, kind=kind).select("v", F.lit(policy).alias("policy"), F.lit(case).alias("found"))
             out = found if out is None else out.unionByName(found)
-    return out
+    return out.groupBy("policy", "found").agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("v"))
 
 
 query("cch_materialized", "WITH a AS (SELECT p_name, max(p_size) AS v FROM part GROUP BY 1) SELECT policy, found, count(*) AS n, sum(v)::BIGINT AS v FROM a, (VALUES ('trust_complete', 'partial', true), ('trust_complete', 'other', true), ('metadata', 'partial', true), ('metadata', 'other', false), ('full', 'partial', false), ('full', 'other', false)) p(policy, found, kept) WHERE NOT kept OR v % 3 = 0 GROUP BY 1, 2")(_policies)

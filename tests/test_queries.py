@@ -57,3 +57,14 @@ def test_query_without_sql(spark, name):
 def test_flagship(spark):
     got = {r.split: r.n for r in __spark_entry__.entry(spark).collect()}
     assert set(got) <= {"train", "val", "test"} and sum(got.values()) == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_groups_without_rows_have_no_row(spark, tmp_path):
+    """cch_materialized where the published part of the table is empty: SQL groups rows that are not there."""
+    part = spark.createDataFrame([(f"p{i % 3}", 50 - i // 3) for i in range(9)] + [(None, 4)], "p_name string, p_size int")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(duck.sql(SQL["cch_materialized"]).fetchall())
+    got = QUERIES["cch_materialized"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("policy", "found", "n", "v").collect())) == want and len(want) == 3

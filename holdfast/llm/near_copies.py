@@ -1,10 +1,12 @@
 """Near copies by the Jaccard similarity of word shingles: the pipeline's stage of SimHash near-dedup, made exact.
 
-No number of fingerprint bits or bytes guarantees a Jaccard similarity, so candidates
-come from an inverted index over the shingles themselves, filtered by counting as the
-fingerprint index of `simhash` is: two texts of the similarity share a guaranteed number
-of shingles among the first of their order (prefix filter), and those that reach it are
-grouped by their rarest shingles and verified by whole sets. Copies are never expanded
+First comes the method of `simhash`: each text's fingerprint, here of its distinct
+shingles, goes through the byte-position index, pairs are tallied and held against the
+bits, and what is linked so is verified by whole sets. No number of fingerprint bits or
+bytes guarantees a Jaccard similarity, so the pairs that this leaves come from an inverted
+index over the shingles themselves, filtered by counting too: two texts of the similarity
+share a guaranteed number of shingles among the first of their order (prefix filter), and
+those that reach it are grouped by their rarest shingles and verified by whole sets. Copies are never expanded
 into pairs: equal sets of shingles are one node, and links leave a task as a spanning
 forest.
 """
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm import simhash
 from holdfast.llm.common import written
 from holdfast.llm.components import components
 from holdfast.llm.quality import fresh
@@ -28,6 +31,7 @@ from holdfast.operators.frames import joinable
 
 SHINGLE = 5
 SIMILARITY = 0.8
+BITS = 4  # that the fingerprints of a link may differ in
 LIST_CAP = 256  # texts of a list, and of a block of a longer one
 WHOLE_GROUP = 8192  # texts up to which a group is compared as one; a larger one is, shingle by shingle
 
@@ -39,6 +43,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.sort(np.fromiter(own, np.uint64, len(own)).view(np.int64))
 
 
+def fingerprint(grams: np.ndarray) -> int:
+    """As `simhash.fingerprint`, over distinct shingles, so that its bits follow the similarity; zero without words."""
+    return int(np.packbits(2 * simhash.bit_sums(grams.view(np.uint64)) > len(grams)).view(">u8")[0]) if len(grams) else 0
+
+
 def overlap(n: int, similarity: float) -> int:
     """How many of its n shingles a text shares, at least, with any other of the similarity."""
     return max(1, math.ceil(similarity * n - 1e-9))
@@ -54,18 +63,19 @@ def head(n: int, similarity: float) -> int:
 
 
 def shingle_sets(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Per row: doc_id, text_hash, node (a hash of the set of shingles), n (its size), need (how many of its head another text must share) and head."""
+    """Per row: doc_id, text_hash, node (a hash of the set of shingles), print (its fingerprint, a signed long), need (how many of its head another text must share) and head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [shingle_hashes(t.as_py(), shingle) for t in batch.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in grams], np.uint64).view(np.int64)
+            prints = np.array([fingerprint(g) for g in grams], np.uint64).view(np.int64)
             needs = [spare(overlap(len(g), similarity)) for g in grams]
             heads = pa.array([g[: head(len(g), similarity)] for g in grams], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), pa.array(needs, pa.int64()), heads], names=["doc_id", "text_hash", "node", "need", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), pa.array(prints), pa.array(needs, pa.int64()), heads], names=["doc_id", "text_hash", "node", "print", "need", "head"])
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return own.mapInArrow(run, "doc_id long, text_hash long, node long, need long, head array<long>")
+    return own.mapInArrow(run, "doc_id long, text_hash long, node long, print long, need long, head array<long>")
 
 
 def grams_of(places: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
@@ -166,6 +176,20 @@ def verified_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> Dat
     return pairs.filter("u <> v").distinct().join(side("u"), "u").join(side("v"), "v").filter(both >= F.lit(similarity) * (F.size("_u") + F.size("_v") - both)).select("u", "v")
 
 
+def print_links(nodes: DataFrame, grams: DataFrame, similarity: float, bits: int = BITS) -> DataFrame:
+    """Edges u, v that have the similarity, by the byte-position index of the fingerprints. nodes: node, print.
+
+    Nodes of one fingerprint are held against the least of them, and those least against
+    each other where the index links their fingerprints. Nodes without grams have no pair
+    of the similarity. Which pairs a star or the bits leave out is for the shingles to find.
+    """
+    least = written(nodes.groupBy("print").agg(F.min("node").alias("least")), "prints")
+    same = nodes.join(joinable(least), "print").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    side = lambda at: joinable(least.select(F.col("print").alias(at), F.col("least").alias(f"_{at}")))
+    across = simhash.links(least.select("print"), bits).join(side("u"), "u").join(side("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    return verified_pairs(same.unionByName(across), grams, similarity)
+
+
 def dealt_lists(rows: DataFrame, cap: int) -> DataFrame:
     """key, own, node: lists of some 2 * cap rows at most in which any two nodes of one h meet that are of different components. rows: h, node, comp (once for each h and node).
 
@@ -193,8 +217,8 @@ def dealt_lists(rows: DataFrame, cap: int) -> DataFrame:
     return out.select(F.xxhash64("h", "at.kind", "at.x", "at.y").alias("key"), side.cast("int").alias("own"), "node")
 
 
-def large_links(filed: DataFrame, groups: DataFrame, grams: DataFrame, similarity: float, cap: int, whole: int) -> DataFrame:
-    """Edges as `verified_links`, of groups that are too large for one list.
+def large_links(filed: DataFrame, groups: DataFrame, grams: DataFrame, similarity: float, cap: int, whole: int, links: DataFrame | None = None) -> DataFrame:
+    """Edges as `verified_links`, of groups that are too large for one list; what `links` joins already is not compared in lists.
 
     First every node is held against its group's root, and those that this does not join
     against the least node of each of their shingles; both are a number of pairs that is
@@ -208,7 +232,7 @@ def large_links(filed: DataFrame, groups: DataFrame, grams: DataFrame, similarit
     pivots = own.groupBy("h").agg(F.min("node").alias("v"))
     second = verified_pairs(own.filter("not joined").join(joinable(pivots), "h").select(F.col("node").alias("u"), "v"), grams, similarity)
     known = written(first.unionByName(second), "star-links")
-    roots = components(known)
+    roots = components(known if links is None else known.unionByName(links))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     sized = written(groups.join(joinable(sizes), "root"), "large-sizes")
     as_one = sized.filter(F.col("size") <= whole).select(F.xxhash64(F.lit("group"), "root").alias("h"), "node")
@@ -218,28 +242,31 @@ def large_links(filed: DataFrame, groups: DataFrame, grams: DataFrame, similarit
     return known.unionByName(links_in_lists(lists.join(joinable(grams), "node").select("key", "own", "node", "grams"), similarity))
 
 
-def verified_links(filed: DataFrame, groups: DataFrame, grams: DataFrame, similarity: float, cap: int = LIST_CAP, whole: int = WHOLE_GROUP) -> DataFrame:
-    """Edges u, v that join all nodes of a group which have the similarity by chains; every edge is verified by whole sets. A group of up to `cap` nodes is one list."""
+def verified_links(filed: DataFrame, groups: DataFrame, grams: DataFrame, similarity: float, cap: int = LIST_CAP, whole: int = WHOLE_GROUP, links: DataFrame | None = None) -> DataFrame:
+    """Edges u, v that join all nodes of a group which have the similarity by chains; every edge is verified by whole sets. A group of up to `cap` nodes is one list. links: edges that are verified already, and returned too."""
     sizes = written(groups.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "group-sizes")
     sized = groups.join(joinable(sizes), "root")
     small = sized.filter(F.col("size") <= cap).select(F.xxhash64("root").alias("key"), F.lit(0).alias("own"), "node")
     found = links_in_lists(grams.join(small, "node").select("key", "own", "node", "grams"), similarity)
     large = written(sized.filter(F.col("size") > cap).select("node", "root"), "large-groups")
-    return found if large.isEmpty() else found.unionByName(large_links(filed, large, grams, similarity, cap, whole))
+    found = found if links is None else found.unionByName(links)
+    return found if large.isEmpty() else found.unionByName(large_links(filed, large, grams, similarity, cap, whole, links))
 
 
 def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The document with the least doc_id (null last) of each component, with its columns as they were. Rows equal in doc_id and text are one document, and stay or go together.
 
     Links are all pairs whose sets of shingles have the Jaccard similarity; texts without
-    words are alike; a null text has none. An empty table stays empty. First the texts that may have a partner at all are found, by the heads
-    of their shingles in order of hash; those are grouped by their rarest shingles, and
-    compared by whole sets within the groups.
+    words are alike; a null text has none. An empty table stays empty. The texts that may
+    have a partner at all are found by the heads of their shingles in order of hash.
+    Links come first from the fingerprints of all texts by their byte-position index,
+    verified by whole sets; then the texts are grouped by their rarest shingles, and
+    compared by whole sets within the groups, so that no pair is left out.
     """
     hashed = fresh(documents, "_text_hash")
     sets = written(shingle_sets(documents, shingle, similarity), "sets")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    places = written(sets.groupBy("node", "need").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "places")
+    places = written(sets.groupBy("node", "print", "need").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "places")
 
     rows = sets.select("node", F.explode("head").alias("h"))
     shared = written(rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("h"), "shared")
@@ -249,7 +276,8 @@ def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, similarity: f
     grams = written(grams_of(paired, documents, shingle), "grams")
     filed = written(rarest(grams, similarity), "filed")
     groups = written(grouped(filed), "groups")
-    roots = components(verified_links(filed, groups, grams, similarity))
+    linked = written(print_links(places.select("node", "print"), grams, similarity), "print-links")
+    roots = components(verified_links(filed, groups, grams, similarity, links=linked))
 
     final = places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = final.groupBy("root").agg(F.min("first").alias("first"))

@@ -274,6 +274,27 @@ def test_copies_that_differ_in_how_often_a_phrase_comes(spark):
     assert got == want == {0, 2, 4}
 
 
+def test_near_copies_go_through_the_byte_position_index(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [fresh_words(rng, 300) for _ in range(10)]
+    texts = [" ".join(w) for own in base for w in (own, changed(rng, own, 1))]
+    asked, got = [], []
+    links, print_links = simhash.links, near_copies.print_links
+    monkeypatch.setattr(near_copies.simhash, "links", lambda prints, *a, **b: asked.append(prints.count()) or links(prints, *a, **b))
+    monkeypatch.setattr(near_copies, "print_links", lambda *a, **b: got.append(print_links(*a, **b)) or got[-1])
+    assert kept_of(spark, texts) == (set(range(0, 20, 2)),) * 2
+    prints = [near_copies.fingerprint(near_copies.shingle_hashes(t, 5)) for t in texts]
+    close = sum((prints[i] ^ prints[i + 1]).bit_count() <= 4 for i in range(0, 20, 2))
+    assert asked == [len(set(prints))] and got[0].count() == close > 3
+
+
+def test_links_of_the_index_are_verified(spark):
+    nodes = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, 5), (9, 5), (5, ~5)], "node long, print long")
+    grams = spark.createDataFrame([(1, list(range(10))), (2, list(range(20, 30))), (3, list(range(1, 10))), (4, list(range(10, 19))), (5, list(range(10)))], "node long, grams array<long>")
+    assert {frozenset(r) for r in near_copies.print_links(nodes, grams, 0.8).collect()} == {frozenset((1, 3))}
+    assert near_copies.fingerprint(np.array([], np.int64)) == 0 and near_copies.fingerprint(np.array([-2, 6, 3], np.int64)) == 6 | 2
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1000, 1002), (5, 5)]
     random.Random(1).shuffle(edges)

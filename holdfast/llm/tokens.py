@@ -58,7 +58,7 @@ class ChunkEncoder:
         self.by_chunks = chunks_give_ids(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.raw = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.young: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = Memo(self)
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         shown = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
@@ -79,31 +79,34 @@ class ChunkEncoder:
             out.append(ids)
         return b"".join(out)
 
+    def found(self, chunk: bytes) -> bytes:
+        """Ids of a chunk that the young memo lacks."""
+        if (known := dict.get(self.old, chunk)) is not None:
+            return known
+        if self.PLAIN.fullmatch(word := chunk.decode("utf-8")):
+            return self.plain(word)
+        return b"".join([self.raw[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
     def encode(self, text: str | None) -> bytes:
         if not self.by_chunks:
             return b"".join([self.raw[i] for i in self.tokenizer.encode(text or "", add_special_tokens=False).ids])
-        chunks = (text or "").encode("utf-8").split()
-        young, old, plain = self.young, self.old, self.PLAIN.fullmatch
-        missing, brief = [], []
-        for c in set(chunks).difference(young):
-            if (known := old.get(c)) is not None:
-                young[c] = known
-            elif plain(word := c.decode("utf-8")):
-                young[c] = self.plain(word)
-            else:
-                missing.append((c, word))
-            if len(c) > self.LONGEST:
-                brief.append(c)
-        if missing:
-            raw = self.raw
-            found = self.tokenizer.encode_batch_fast([word for _, word in missing], add_special_tokens=False)
-            for (c, _), e in zip(missing, found, strict=True):
-                young[c] = b"".join([raw[i] for i in e.ids])
-        ids = b"".join([young[c] for c in chunks])
-        for c in brief:
-            del young[c]
-        if len(young) > self.memo:
-            self.young, self.old = {}, young
+        ids = b"".join(map(self.young.__getitem__, (text or "").encode("utf-8").split()))
+        if len(self.young) > self.memo:
+            self.young, self.old = Memo(self), self.young
+        return ids
+
+
+class Memo(dict):
+    """Chunk to ids; what is missing comes from the encoder, so that a known chunk costs one look. Long chunks are not kept."""
+
+    def __init__(self, owner: ChunkEncoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.owner.found(chunk)
+        if len(chunk) <= self.owner.LONGEST:
+            self[chunk] = ids
         return ids
 
 

@@ -194,3 +194,14 @@ def test_pack(documents):
         assert at <= 64
     assert len(by) <= sum(r.length for r in got) / 64 + 2
     assert pack(documents.limit(0), WORDS).count() == 0
+
+
+def test_a_missing_chunk_comes_from_the_encoder():
+    from holdfast.llm.tokens import ChunkEncoder
+
+    own = ChunkEncoder(tokenizer_path("word_bpe_49k.json"), memo=5)
+    for word in ("Hello", "it's", "<x>", "naïve", "я" * 80, "a" * 100):
+        ids = own.tokenizer.encode(word, add_special_tokens=False).ids
+        assert own.young[word.encode()] == np.array(ids, "<u4").tobytes() and (word.encode() in own.young) == (len(word) < 80)
+    own.encode("b c")
+    assert not own.young and len(own.old) == 6 and own.encode("Hello c") == own.encode("Hello") + own.encode("c")

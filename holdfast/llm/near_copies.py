@@ -8,7 +8,7 @@ index over the shingles themselves, filtered by counting too: two texts of the s
 share a guaranteed number of shingles among the first of their order (prefix filter), and
 those that reach it are grouped by their rarest shingles and verified by whole sets. Copies are never expanded
 into pairs: equal sets of shingles are one node, and links leave a task as a spanning
-forest.
+forest. All joins are by shuffles and sorting, so the driver holds no rows at any size.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm import simhash
-from holdfast.llm.common import written
+from holdfast.llm.common import sorted_joinable, sorted_side, written
 from holdfast.llm.components import components
 from holdfast.llm.quality import fresh
 from holdfast.llm.simhash import TO_LOWER
-from holdfast.operators.frames import joinable
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -82,7 +81,7 @@ def grams_of(places: DataFrame, documents: DataFrame, shingle: int) -> DataFrame
     """node, grams of the documents that stand for the nodes. places: node, first (n, doc_id, text_hash)."""
     wanted = places.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = own.join(wanted, (own["text_hash"] == wanted["_hash"]) & own["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
+    texts = own.join(sorted_side(wanted), (own["text_hash"] == wanted["_hash"]) & own["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +96,7 @@ def rarest(grams: DataFrame, similarity: float) -> DataFrame:
     n = F.size("grams")
     rows = grams.select("node", n.alias("n"), F.explode("grams").alias("h"))
     counts = written(rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "gram-counts")
-    common = rows.join(joinable(counts), "h")
+    common = rows.join(sorted_joinable(counts), "h")
     kept = F.col("n") - F.greatest(F.lit(1), F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9))) + 1
     alone = F.col("n") - F.size("of")  # those of no other text are the rarest
     filed = common.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("of"))
@@ -107,7 +106,7 @@ def rarest(grams: DataFrame, similarity: float) -> DataFrame:
 def grouped(filed: DataFrame) -> DataFrame:
     """node, root: components of the texts that share one of the filed shingles, as all pairs of the similarity do. Those that share none are left out."""
     least = filed.groupBy("h").agg(F.min("node").alias("v"))
-    return components(filed.join(joinable(least), "h").select(F.col("node").alias("u"), "v"))
+    return components(filed.join(sorted_joinable(least), "h").select(F.col("node").alias("u"), "v"))
 
 
 def alike(sides: np.ndarray, grams: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,7 +170,7 @@ def links_in_lists(lists: DataFrame, similarity: float) -> DataFrame:
 
 def verified_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """The pairs u, v that have the similarity."""
-    side = lambda at: joinable(grams.select(F.col("node").alias(at), F.col("grams").alias(f"_{at}")))
+    side = lambda at: sorted_joinable(grams.select(F.col("node").alias(at), F.col("grams").alias(f"_{at}")))
     both = F.size(F.array_intersect("_u", "_v"))
     return pairs.filter("u <> v").distinct().join(side("u"), "u").join(side("v"), "v").filter(both >= F.lit(similarity) * (F.size("_u") + F.size("_v") - both)).select("u", "v")
 
@@ -184,8 +183,8 @@ def print_links(nodes: DataFrame, grams: DataFrame, similarity: float, bits: int
     of the similarity. Which pairs a star or the bits leave out is for the shingles to find.
     """
     least = written(nodes.groupBy("print").agg(F.min("node").alias("least")), "prints")
-    same = nodes.join(joinable(least), "print").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    side = lambda at: joinable(least.select(F.col("print").alias(at), F.col("least").alias(f"_{at}")))
+    same = nodes.join(sorted_joinable(least), "print").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    side = lambda at: sorted_joinable(least.select(F.col("print").alias(at), F.col("least").alias(f"_{at}")))
     across = simhash.links(least.select("print"), bits).join(side("u"), "u").join(side("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
     return verified_pairs(same.unionByName(across), grams, similarity)
 
@@ -203,7 +202,7 @@ def dealt_lists(rows: DataFrame, cap: int) -> DataFrame:
     sizes = counts.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("s"), (F.sum("c") - F.max("c")).alias("r")).filter("r > 0")
     many = lambda n: F.ceil(F.col(n) / F.least(F.lit(cap), F.greatest(F.lit(min(cap, 64)), F.ceil(F.col(n) / 64)))).cast("int")
     blocks = sizes.select("h", "main", many("s").alias("a"), many("r").alias("b"))
-    own = rows.join(joinable(blocks), "h").withColumn("large", F.col("comp") == F.col("main"))
+    own = rows.join(sorted_joinable(blocks), "h").withColumn("large", F.col("comp") == F.col("main"))
     place = F.pmod(F.xxhash64(F.lit("block"), "node"), F.when(F.col("large"), F.col("a")).otherwise(F.col("b"))).cast("int")
     own = own.withColumn("place", place)
     meets = F.when(F.col("large"), F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("place").alias("x"), j.alias("y")))).otherwise(
@@ -227,27 +226,27 @@ def large_links(filed: DataFrame, groups: DataFrame, grams: DataFrame, similarit
     do with each other.
     """
     first = written(verified_pairs(groups.select(F.col("node").alias("u"), F.col("root").alias("v")), grams, similarity), "root-links")
-    joined = groups.join(joinable(first.select(F.col("u").alias("node"), F.lit(True).alias("joined"))), "node", "left").withColumn("joined", F.coalesce("joined", F.col("node") == F.col("root")))
-    own = written(filed.join(joinable(joined), "node"), "large-filed")
+    joined = groups.join(sorted_joinable(first.select(F.col("u").alias("node"), F.lit(True).alias("joined"))), "node", "left").withColumn("joined", F.coalesce("joined", F.col("node") == F.col("root")))
+    own = written(filed.join(sorted_joinable(joined), "node"), "large-filed")
     pivots = own.groupBy("h").agg(F.min("node").alias("v"))
-    second = verified_pairs(own.filter("not joined").join(joinable(pivots), "h").select(F.col("node").alias("u"), "v"), grams, similarity)
+    second = verified_pairs(own.filter("not joined").join(sorted_joinable(pivots), "h").select(F.col("node").alias("u"), "v"), grams, similarity)
     known = written(first.unionByName(second), "star-links")
     roots = components(known if links is None else known.unionByName(links))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    sized = written(groups.join(joinable(sizes), "root"), "large-sizes")
+    sized = written(groups.join(sorted_joinable(sizes), "root"), "large-sizes")
     as_one = sized.filter(F.col("size") <= whole).select(F.xxhash64(F.lit("group"), "root").alias("h"), "node")
-    by_shingle = own.select("h", "node").join(joinable(sized.filter(F.col("size") > whole).select("node")), "node").select("h", "node")
-    comp = as_one.unionByName(by_shingle).join(joinable(roots.withColumnRenamed("root", "comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    by_shingle = own.select("h", "node").join(sorted_joinable(sized.filter(F.col("size") > whole).select("node")), "node").select("h", "node")
+    comp = as_one.unionByName(by_shingle).join(sorted_joinable(roots.withColumnRenamed("root", "comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lists = dealt_lists(written(comp, "large-lists"), cap)
-    return known.unionByName(links_in_lists(lists.join(joinable(grams), "node").select("key", "own", "node", "grams"), similarity))
+    return known.unionByName(links_in_lists(lists.join(sorted_joinable(grams), "node").select("key", "own", "node", "grams"), similarity))
 
 
 def verified_links(filed: DataFrame, groups: DataFrame, grams: DataFrame, similarity: float, cap: int = LIST_CAP, whole: int = WHOLE_GROUP, links: DataFrame | None = None) -> DataFrame:
     """Edges u, v that join all nodes of a group which have the similarity by chains; every edge is verified by whole sets. A group of up to `cap` nodes is one list. links: edges that are verified already, and returned too."""
     sizes = written(groups.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "group-sizes")
-    sized = groups.join(joinable(sizes), "root")
+    sized = groups.join(sorted_joinable(sizes), "root")
     small = sized.filter(F.col("size") <= cap).select(F.xxhash64("root").alias("key"), F.lit(0).alias("own"), "node")
-    found = links_in_lists(grams.join(small, "node").select("key", "own", "node", "grams"), similarity)
+    found = links_in_lists(grams.join(sorted_side(small), "node").select("key", "own", "node", "grams"), similarity)
     large = written(sized.filter(F.col("size") > cap).select("node", "root"), "large-groups")
     found = found if links is None else found.unionByName(links)
     return found if large.isEmpty() else found.unionByName(large_links(filed, large, grams, similarity, cap, whole, links))
@@ -270,8 +269,8 @@ def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, similarity: f
 
     rows = sets.select("node", F.explode("head").alias("h"))
     shared = written(rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("h"), "shared")
-    found = rows.join(joinable(shared), "h").groupBy("node").agg(F.count("*").alias("found"))
-    paired = places.join(found, "node").filter(F.col("found") >= F.col("need") * F.col("copies")).select("node", "first")
+    found = rows.join(sorted_joinable(shared), "h").groupBy("node").agg(F.count("*").alias("found"))
+    paired = places.join(sorted_side(found), "node").filter(F.col("found") >= F.col("need") * F.col("copies")).select("node", "first")
 
     grams = written(grams_of(paired, documents, shingle), "grams")
     filed = written(rarest(grams, similarity), "filed")
@@ -279,8 +278,8 @@ def keep_one_of_each(documents: DataFrame, shingle: int = SHINGLE, similarity: f
     linked = written(print_links(places.select("node", "print"), grams, similarity), "print-links")
     roots = components(verified_links(filed, groups, grams, similarity, links=linked))
 
-    final = places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    final = places.join(sorted_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = final.groupBy("root").agg(F.min("first").alias("first"))
     first = first.select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_hash").alias("_first_hash"))
     own = documents.withColumn(hashed, F.xxhash64("text"))
-    return own.join(first, (own[hashed] == first["_first_hash"]) & own["doc_id"].cast("long").eqNullSafe(first["_first_id"]), "left_semi").drop(hashed)
+    return own.join(sorted_side(first), (own[hashed] == first["_first_hash"]) & own["doc_id"].cast("long").eqNullSafe(first["_first_id"]), "left_semi").drop(hashed)

@@ -24,9 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import table, written
+from holdfast.llm.common import sorted_joinable, sorted_side, table, written
 from holdfast.llm.components import components
-from holdfast.operators.frames import joinable
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = bytes.maketrans(UPPER, LOWER)
@@ -175,7 +174,9 @@ def split_lists(filed: DataFrame, cap: int, n: int, bins: int = 1 << 16, broadca
     bins = max(bins, n // 1024)
     bin_ = F.pmod(F.col("key"), F.lit(bins))
     long = written(filed.groupBy(bin_.alias("_bin")).count().filter(F.col("count") > cap).select("_bin", F.ceil(F.col("count") / cap).cast("int").alias("_blocks")), "long-lists")
-    brought = F.broadcast(long) if long.count() <= broadcast_rows else joinable(long)
+    if not (found := long.count()):
+        return filed.select("key", "print")
+    brought = F.broadcast(long) if found <= broadcast_rows else sorted_joinable(long)
     own = F.pmod(F.xxhash64(F.lit("block"), "print"), F.col("_blocks")).cast("int")
     dealt = filed.withColumn("_bin", bin_).join(brought, "_bin", "left").withColumn("_own", own)
     dealt = dealt.withColumn("_other", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))))
@@ -216,10 +217,10 @@ def near_dedup(documents: DataFrame, shingle: int = 4, bits: int = 4, seed: int
     prints = written(fingerprints(documents, shingle, seed), "prints")
     distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-prints")
     roots = components(links(distinct.select("print"), bits)).withColumnRenamed("node", "print")
-    known = written(distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "roots")
+    known = written(distinct.join(sorted_side(roots), "print", "left").withColumn("root", F.coalesce("root", "print")), "roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = known.join(joinable(least), "root").select("print", "component_id")
-    return prints.join(groups, "print").select("doc_id", F.col("print").alias("fingerprint"), "component_id")
+    groups = known.join(sorted_joinable(least), "root").select("print", "component_id")
+    return prints.join(sorted_side(groups), "print").select("doc_id", F.col("print").alias("fingerprint"), "component_id")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from holdfast.llm import components, decontaminate, line_dedup, near_copies, simhash
+from holdfast.llm.common import written
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -303,6 +304,45 @@ def test_components_of_a_long_chain(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    rng = random.Random(19)
+    own = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, 2000 - i) for i in range(1, 50)] + [(-(1 << 63), (1 << 63) - 1)]
+    rng.shuffle(own)
+    least = {n: n for e in own for n in e if e[0] != e[1]}
+    while any(least[u] != least[v] for u, v in own if u != v):
+        for u, v in own:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    names = []
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or written(df, name))
+    df = spark.createDataFrame(own, "u long, v long").repartition(5)
+    for edges, want in ((df, least), (df.limit(0), {})):
+        names.clear()
+        assert sorted(map(tuple, components.components(edges).collect())) == sorted(want.items()) and names == ["edges", "components"]
+    assert sorted(map(tuple, components.components(df, one_task=0).collect())) == sorted(least.items()) and len(names) > 4
+
+
+def test_near_copies_build_no_side_of_a_join_on_the_driver(spark, monkeypatch):
+    """Under Spark's default threshold, under which all these tables are."""
+    rng = random.Random(20)
+    bases = [fresh_words(rng, 200) for _ in range(6)]
+    texts = [" ".join(changed(rng, own, 8)) for own in bases for _ in range(12)] + [" ".join(own) for own in bases]
+    plans = []
+
+    def watched(df, name):
+        df.collect()
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    for module in (components, near_copies, simhash):
+        monkeypatch.setattr(module, "written", watched)
+    monkeypatch.setattr(near_copies.verified_links, "__defaults__", (4, 8, None))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    components.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long"), one_task=0)
+    watched(near_copies.keep_one_of_each(df), "kept")
+    assert {"large-lists", "star-links", "kept"} <= {name for name, _ in plans} and [name for name, plan in plans if "Broadcast" in plan] == []
+
+
 # Decontamination
 
 def test_masks_hit_every_window_that_passes():

@@ -1,7 +1,6 @@
 """Connected components of an edge table: in one task up to a fixed number of edges, else by alternating large and small stars, a logarithmic number of rounds, each written to the shared folder.
 
-A round is some 16 Spark stages, and the driver pays for each (a plan, compiled code, and
-a block of spark.broadcast.blockSize for each task binary and scan), whatever its rows.
+A round is some 16 Spark stages, and the driver's memory grows with each, whatever its rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ index over the shingles themselves, filtered by counting too: two texts of the s
 share a guaranteed number of shingles among the first of their order (prefix filter), and
 those that reach it are grouped by their rarest shingles and verified by whole sets. Copies are never expanded
 into pairs: equal sets of shingles are one node, and links leave a task as a spanning
-forest. All joins are by shuffles and sorting, so the driver holds no rows at any size.
+forest. All joins here are by shuffles and sorting, so that none is built on the driver.
 """
 
 from __future__ import annotations
